@@ -23,11 +23,11 @@ _NUMBERED = r"^[1-5]\."
 _NUMBERING = r"^[0-9. ]+"
 
 
-def _insight_list(text: Column) -> Column:
+def _parsed(text: Column, shape: str) -> Column:
     # Parsed inside an enclosing object: text left over after the closing
     # bracket then makes the whole value invalid instead of being ignored.
     enclosed = F.concat(F.lit('{"found":'), text, F.lit("}"))
-    return F.from_json(enclosed, f"found array<{INSIGHT}>")["found"]
+    return F.from_json(enclosed, f"found {shape}")["found"]
 
 
 def insights(raw: Column) -> Column:
@@ -41,7 +41,13 @@ def insights(raw: Column) -> Column:
         F.lit(DEFAULT_RECOMMENDATION).alias("recommendation"),
         F.lit(DEFAULT_SEVERITY).alias("severity"),
     )
-    return F.coalesce(_insight_list(block), _insight_list(text), F.array(quoted))
+    single = _parsed(text, INSIGHT)
+    return F.coalesce(
+        _parsed(block, f"array<{INSIGHT}>"),
+        _parsed(text, f"array<{INSIGHT}>"),
+        F.when(single.isNotNull(), F.array(single)),
+        F.array(quoted),
+    )
 
 
 def _lines(raw: Column) -> Column:

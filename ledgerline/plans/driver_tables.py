@@ -236,8 +236,7 @@ def write_exports(spark: SparkSession, sf_dir: str, path: str) -> None:
     shipped = written("_shipped", shipped_lines(spark, sf_dir))
     deliveries = written("_deliveries", delivery_documents(shipped))
     documents = written("_documents", billing_documents(shipped, deliveries))
-    for name, frame in exports(spark, sf_dir, shipped, deliveries, documents).items():
-        sinks.write_serving(frame, f"{path}/{name}")
+    sinks.write_all(exports(spark, sf_dir, shipped, deliveries, documents), path)
 
 
 def open_exports(spark: SparkSession, path: str) -> dict[str, DataFrame]:

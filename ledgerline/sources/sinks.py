@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,14 @@ def write_serving(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_all(frames: Mapping[str, DataFrame], path: str, at_once: int = 4) -> None:
+    """Several independent serving tables; their jobs share the cluster."""
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = [pool.submit(write_serving, df, f"{path}/{name}") for name, df in frames.items()]
+        for job in jobs:
+            job.result()
+
+
 def latest_per_key(df: DataFrame, key: str, version: Sequence[str]) -> DataFrame:
     """The row with the highest ``version`` tuple for each key.
 
