@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def _floor_days(span: Column) -> Column:
-    # extract() truncates towards zero; a negative span with a remainder is one day less.
-    whole = F.date_part(F.lit("DAY"), span)
-    return (whole - (span < F.make_dt_interval(whole)).cast("int")).cast("bigint")
+    # The day field truncates towards zero, so a negative span is turned round
+    # and lengthened by just under a day first.
+    just_under = F.expr("INTERVAL '0 23:59:59.999999' DAY TO SECOND")
+    ahead = F.date_part(F.lit("DAY"), span)
+    back = -F.date_part(F.lit("DAY"), just_under - span)
+    zero = F.expr("INTERVAL '0' SECOND")
+    return F.when(span >= zero, ahead).otherwise(back).cast("bigint")
 
 
 def elapsed_days(start: Column, end: Column) -> Column:

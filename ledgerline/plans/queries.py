@@ -870,7 +870,7 @@ def customer_payload(d: DataSet) -> DataFrame:
 
 @query(
     """
-    SELECT printf('%d orders of %d customers, INR %.0f ordered, %.0f paid, %.0f open (%.0f%% uncollected); '
+    SELECT printf('%d orders of %d customers, INR %.0f ordered, %.0f paid, %.0f open (%.1f%% uncollected); '
         || '%.1f%% cancelled (%d), %d unpaid, %d with a missing stage, %d delivered late (%.1f%%); '
         || '%s days from order to payment, %s from delivery to billing',
         total_orders, unique_customers, total_revenue_inr, total_paid_inr, revenue_leakage_inr,

@@ -14,8 +14,10 @@ ADAPTIVE = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # The item rows are wide; generated methods over this size are never compiled
-    # by the JVM, so such stages run faster as separate operators.
+    # by the JVM, and those just under it only after long interpretation, so
+    # stages over wide rows run faster as separate operators.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.codegen.maxFields": "40",
     # A join whose build side turns out small in every partition hashes it
     # instead of sorting both sides; larger or skewed partitions still sort.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
