@@ -29,21 +29,25 @@ def billing_per_delivery(billing_items: DataFrame, order_column: str | None = No
     """First billing document, billed quantity and amount of each delivery.
 
     "First" is the lowest document id, or the one with the lowest
-    ``order_column``; file order means nothing in a distributed scan.
+    ``order_column``; file order means nothing in a distributed scan.  Items
+    are added up per document first, a hash aggregate over numbers; the first
+    document is then chosen among few rows.
     """
-    if order_column is None:
-        first = F.min("billing_doc_id")
-    else:
-        rank = F.struct(order_column, "billing_doc_id")
-        first = F.min_by("billing_doc_id", F.when(F.col("billing_doc_id").isNotNull(), rank))
-    return (
+    rank = F.lit(0) if order_column is None else F.min(order_column)
+    per_document = (
         billing_items.filter(F.col("delivery_id").isNotNull())
-        .groupBy("delivery_id")
+        .groupBy("delivery_id", "billing_doc_id")
+        .agg(F.sum("billed_qty").alias("qty"), F.sum("billed_amount").alias("amount"), rank.alias("rank"))
+    )
+    named = F.when(F.col("billing_doc_id").isNotNull(), F.struct("rank", "billing_doc_id"))
+    return (
+        per_document.groupBy("delivery_id")
         .agg(
-            first.alias("billing_doc_id"),
-            total("billed_qty").alias("billed_qty"),
-            total("billed_amount").alias("billed_amount_sum"),
+            F.min(named).alias("first"),
+            total("qty").alias("billed_qty"),
+            total("amount").alias("billed_amount_sum"),
         )
+        .select("delivery_id", "first.billing_doc_id", "billed_qty", "billed_amount_sum")
     )
 
 

@@ -63,3 +63,21 @@ def test_plans_stay_in_the_engine(spark, name):
     plan = QUERIES[name](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
     for word in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin", "Window"):
         assert word not in plan
+
+
+@pytest.mark.parametrize(
+    "name,pushed",
+    [
+        ("order_lookup", "EqualTo(sales_order_id,7)"),
+        ("orders_by_stage", "EqualTo(lifecycle_stage,cancelled)"),
+        ("orders_by_customer", "EqualTo(customer_id,42)"),
+    ],
+)
+def test_filters_reach_the_scan(spark, name, pushed):
+    plan = QUERIES[name](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan
+
+
+def test_scans_read_only_what_is_used(spark):
+    plan = QUERIES["sum_once_per_document"](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<billing_doc_id:string,billing_amount:double>" in plan
