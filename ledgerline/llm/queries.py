@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, mixing, sharding, simhash
+from ledgerline.llm import bpe, lines, mixing, sharding, simhash, toxicity
 from ledgerline.llm.work import Scratch
 
 
@@ -29,15 +29,27 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.scores(docs, labels, Scratch(spark, "toxicity"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.cleaned(table(spark, sf_dir, "documents"), Scratch(spark, "lines"))
+    return found.select("doc_id", "text", "lines_before", "lines_after")
+
+
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
