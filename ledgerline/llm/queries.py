@@ -6,12 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, lines, mixing, sharding, simhash, toxicity
-from ledgerline.llm.work import Scratch
+from ledgerline.llm import ann, bpe, lattice, lines, mixing, sharding, simhash, toxicity
+from ledgerline.llm.work import Scratch, importable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, F.col("vec_id") % 20 == 0, Scratch(spark, "ann"))
+
+
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_copies(table(spark, sf_dir, "embeddings"), Scratch(spark, "lattice"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +53,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
+    "op2_lattice": op2_lattice,
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where the driver found it, if the folder exists there."""
+    root = str(Path(__file__).resolve().parents[2])
+    settings = spark.sparkContext.environment
+    paths = [p for p in settings.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        settings["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
+
+
 class Scratch:
     """A folder of one operator run.
 
@@ -19,7 +31,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         application = spark.sparkContext.applicationId
-        self.spark = spark
+        self.spark = importable(spark)
         self.path = f"{base.rstrip('/')}/ledgerline-llm/{application}/{name}-{uuid.uuid4().hex[:12]}"
         self._fs(self.path).deleteOnExit(self._path(self.path))
 
