@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, bpe, lattice, lines, mixing, sharding, simhash, toxicity
+from ledgerline.llm import ann, bpe, lattice, lines, mixing, sharding, simhash, toxicity, urls
 from ledgerline.llm.work import Scratch, importable
 
 
@@ -38,6 +38,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), Scratch(spark, "urls"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.scores(docs, labels, Scratch(spark, "toxicity"))
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
+    "op7_urls": op7_urls,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
