@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, bpe, lattice, lines, mixing, sharding, simhash, toxicity, urls
+from ledgerline.llm import ann, bpe, lattice, lines, mixing, pages, sharding, simhash, toxicity, urls
 from ledgerline.llm.work import Scratch, importable
 
 
@@ -38,6 +38,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages"), Scratch(spark, "pages"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), Scratch(spark, "urls"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
+    "op6_pages": op6_pages,
     "op7_urls": op7_urls,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,

@@ -81,12 +81,16 @@ def _shape(segment: Column) -> Column:
 
 
 def _differs(own: Column, own_n: Column, whole: Column, whole_n: Column, errors: float) -> Column:
-    """Whether a share among ``own_n`` differs from the share among the rest of ``whole_n``."""
-    rest, rest_n = whole - own, whole_n - own_n
-    pooled = whole / whole_n
+    """Whether a share among ``own_n`` differs from the share among the rest of ``whole_n``.
+
+    Either side counts one hit and one miss more than it has, so that a side
+    without evidence lies half way, unlike one that is clearly good or bad.
+    """
+    rest, rest_n = whole - own + 1, whole_n - own_n + 2
+    own, own_n = own + 1, own_n + 2
+    pooled = (own + rest) / (own_n + rest_n)
     error = F.sqrt(pooled * (1 - pooled) * (1 / own_n + 1 / rest_n))
-    apart = F.abs(own / own_n - rest / rest_n) > F.lit(errors) * error
-    return F.when((own_n > 0) & (rest_n > 0), apart).otherwise(False)
+    return F.abs(own / own_n - rest / rest_n) > F.lit(errors) * error
 
 
 def _rates(rows: DataFrame, *by: str) -> DataFrame:
