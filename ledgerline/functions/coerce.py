@@ -26,7 +26,7 @@ WHITE_SPACE = (
 )
 
 _SPACE = "'" + "".join(f"\\u{ord(ch):04x}" for ch in WHITE_SPACE) + "'"
-_OFFSET = r"r':\d{2}(?:\.\d+)?([+-])(\d{2}):?(\d{2})$'"
+_OFFSET = r"r'(T| )(\d{2}:\d{2})(:\d{2}(?:\.\d+)?)?([+-])(\d{2})(?::?(\d{2}))?$'"
 
 
 def strip_sql(text: str) -> str:
@@ -37,13 +37,19 @@ def moment_sql(text: str) -> str:
     """ISO-8601 text to a zone-free UTC timestamp; NULL if it does not parse.
 
     Exports write "Z" or a bare date; the offset pattern runs on nothing else.
+    Seconds, and the minutes of an offset, may be missing.
     """
     clock = f"try_cast({text} AS timestamp_ntz)"
-    unit = f"if(regexp_extract({text}, {_OFFSET}, 1) = '-', -1, 1)"
-    hours, minutes = (f"{unit} * int(regexp_extract({text}, {_OFFSET}, {n}))" for n in (2, 3))
+    unit = f"if(regexp_extract({text}, {_OFFSET}, 4) = '-', -1, 1)"
+    parts = [f"regexp_extract({text}, {_OFFSET}, {n})" for n in (5, 6)]
+    hours, minutes = (f"{unit} * int(if({part} = '', '0', {part}))" for part in parts)
+    seconds = f"if(regexp_extract({text}, {_OFFSET}, 3) = '', ':00', regexp_extract({text}, {_OFFSET}, 3))"
+    bare = f"concat(regexp_replace({text}, {_OFFSET}, '$1$2'), {seconds})"
     return (
         f"CASE WHEN endswith({text}, 'Z') OR length({text}) <= 10 THEN {clock} "
-        f"WHEN rlike({text}, {_OFFSET}) THEN {clock} - make_dt_interval(0, {hours}, {minutes}) "
+        f"WHEN endswith({text}, 'z') THEN try_cast(concat(left({text}, length({text}) - 1), 'Z') AS timestamp_ntz) "
+        f"WHEN rlike({text}, {_OFFSET}) "
+        f"THEN try_cast({bare} AS timestamp_ntz) - make_dt_interval(0, {hours}, {minutes}) "
         f"ELSE {clock} END"
     )
 

@@ -107,10 +107,18 @@ def clean(table: str, raw: DataFrame) -> DataFrame:
 
 
 def product_texts(raw: DataFrame) -> DataFrame:
-    """One description per material: the first by language, then by text."""
+    """One description per material: the first by language, then by text.
+
+    Without a product or a description column there are none; without a
+    language column the first is by text alone.
+    """
+    names = ("product", "language", "productDescription")
+    texts = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in names])
+    if not {"product", "productDescription"} <= set(raw.columns):
+        texts = texts.limit(0)
     first = F.min(F.struct("language", "productDescription"))
     return (
-        raw.groupBy(F.col("product").alias("material_id"))
+        texts.groupBy(F.col("product").alias("material_id"))
         .agg(first.alias("first"))
         .select("material_id", F.col("first.productDescription").alias("material_desc"))
     )

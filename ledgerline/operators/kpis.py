@@ -53,11 +53,33 @@ def sum_once_per(items: DataFrame, key: str, value: str) -> DataFrame:
     return per_document.agg(_money(value).alias(value))
 
 
+def item_totals(items: DataFrame) -> DataFrame:
+    """Item count, billed and paid totals as one struct, from one pass over the items.
+
+    Grouped by both documents first, which leaves a row per pair of documents;
+    each total then takes a document once.
+    """
+    pairs = items.groupBy("billing_doc_id", "accounting_document").agg(
+        F.count(F.lit(1)).alias("n"), F.max("billing_amount").alias("billed"), F.max("total_amount_paid").alias("paid")
+    )
+    kinds = F.array(
+        F.struct(F.lit("b").alias("kind"), F.col("billing_doc_id").alias("id"), F.col("billed").alias("v"), F.col("n").alias("n")),
+        F.struct(F.lit("p").alias("kind"), F.col("accounting_document").alias("id"), F.col("paid").alias("v"), F.lit(0).cast("long").alias("n")),
+    )
+    once = pairs.select(F.explode(kinds).alias("d")).groupBy("d.kind", "d.id").agg(
+        F.max("d.v").alias("v"), F.sum("d.n").alias("n")
+    )
+    totals = once.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_order_items"),
+        _money(F.when(F.col("kind") == "b", F.col("v"))).alias("total_billed_inr"),
+        _money(F.when(F.col("kind") == "p", F.col("v"))).alias("total_paid_inr"),
+    )
+    return totals.select(F.struct("total_order_items", "total_billed_inr", "total_paid_inr").alias("totals"))
+
+
 def overview(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Headline totals; billed and paid count each document once."""
-    billed = sum_once_per(items, "billing_doc_id", "billing_amount").scalar()
-    paid = sum_once_per(items, "accounting_document", "total_amount_paid").scalar()
-    item_count = items.agg(F.count(F.lit(1))).scalar()
+    known = item_totals(items).scalar()
     revenue = F.col("total_revenue_inr")
     totals = orders.agg(
         F.count(F.lit(1)).alias("total_orders"),
@@ -65,9 +87,8 @@ def overview(items: DataFrame, orders: DataFrame) -> DataFrame:
         _money("order_total_net_amount").alias("total_revenue_inr"),
     )
     return (
-        totals.withColumn("total_order_items", item_count)
-        .withColumn("total_billed_inr", billed)
-        .withColumn("total_paid_inr", paid)
+        totals.withColumn("_known", known)
+        .withColumns({c: F.col(f"_known.{c}") for c in ("total_order_items", "total_billed_inr", "total_paid_inr")})
         .withColumn("revenue_leakage_inr", F.round(revenue - F.col("total_paid_inr"), 2))
         .withColumn("billing_coverage_pct", _share(F.col("total_billed_inr"), revenue))
         .withColumn("payment_coverage_pct", _share(F.col("total_paid_inr"), revenue))
@@ -141,14 +162,14 @@ def _stamp() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
 
-def kpi_document(items: DataFrame, orders: DataFrame) -> DataFrame:
-    """The whole KPI document as one row of nested columns."""
+def kpi_document(items: DataFrame, orders: DataFrame, generated_at: str | None = None) -> DataFrame:
+    """The whole KPI document as one row of nested columns, stamped ``generated_at`` or now."""
     figures = orders.agg(*_cycle_columns(), *_issue_columns())
     return (
         figures.withColumn("overview", _one_row(overview(items, orders), OVERVIEW))
         .withColumn("lifecycle_stages", stage_map(orders).scalar())
         .select(
-            _stamp().alias("generated_at"),
+            (_stamp() if generated_at is None else F.lit(generated_at)).alias("generated_at"),
             "overview",
             "lifecycle_stages",
             F.struct(*CYCLE_STATS).alias("cycle_times"),

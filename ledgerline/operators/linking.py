@@ -29,17 +29,18 @@ def billing_per_delivery(billing_items: DataFrame, order_column: str | None = No
     """First billing document, billed quantity and amount of each delivery.
 
     "First" is the lowest document id, or the one with the lowest
-    ``order_column``; file order means nothing in a distributed scan.  Items
+    ``order_column`` (NULLs last); file order means nothing in a distributed scan.  Items
     are added up per document first, a hash aggregate over numbers; the first
     document is then chosen among few rows.
     """
-    rank = F.lit(0) if order_column is None else F.min(order_column)
+    rank = F.lit(0) if order_column is None else F.min(order_column)  # NULL only if all are
     per_document = (
         billing_items.filter(F.col("delivery_id").isNotNull())
         .groupBy("delivery_id", "billing_doc_id")
         .agg(F.sum("billed_qty").alias("qty"), F.sum("billed_amount").alias("amount"), rank.alias("rank"))
     )
-    named = F.when(F.col("billing_doc_id").isNotNull(), F.struct("rank", "billing_doc_id"))
+    last = F.col("rank").isNull().alias("last")
+    named = F.when(F.col("billing_doc_id").isNotNull(), F.struct(last, "rank", "billing_doc_id"))
     return (
         per_document.groupBy("delivery_id")
         .agg(
@@ -107,7 +108,10 @@ def with_partners(rows: DataFrame, partners: DataFrame) -> DataFrame:
 
 
 def with_product_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    return rows.join(texts, "material_id", "left")
+    """Attach descriptions; without any in the source they are empty text, not NULL."""
+    none = texts.agg(F.count(F.lit(1)) == 0).scalar()
+    described = rows.join(texts, "material_id", "left")
+    return described.withColumn("material_desc", F.when(none, F.lit("")).otherwise(F.col("material_desc")))
 
 
 # Columns of the item table, in output order.
@@ -134,6 +138,8 @@ def unified_items(t: Mapping[str, DataFrame]) -> DataFrame:
     delivered = with_billing(
         with_delivery_headers(delivery_links(t["delivery_items"]), t["delivery_headers"]), billed
     )
-    ordered = with_headers(t["order_items"], with_partners(t["order_headers"], t["partners"]))
+    # product texts meet the narrow items, before header and delivery columns widen them
+    described = with_product_texts(t["order_items"], t["product_texts"])
+    ordered = with_headers(described, with_partners(t["order_headers"], t["partners"]))
     linked = with_item_key(ordered).join(delivered, ITEM_KEY, "left")
-    return with_product_texts(linked, t["product_texts"]).select(*ITEM_COLUMNS)
+    return linked.select(*ITEM_COLUMNS)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.bands import ISSUE_FLAGS
 
+# Fixed value: rows on a page at most.
+MAX_PAGE = 500
+
 DEFAULT_SORT = "order_created_date"
 
 
@@ -71,8 +74,11 @@ def _sort_keys(orders: DataFrame, sort_by: str, sort_dir: str) -> list[Column]:
 def page(chosen: DataFrame, keys: list[Column], limit: int, offset: int) -> DataFrame:
     """One page of the sorted rows, each with the number of rows on all pages.
 
-    The total is a scalar subquery, not a window over the whole table.
+    The total is a scalar subquery, not a window over the whole table.  Limits
+    from 1 to ``MAX_PAGE`` and offsets from 0 are allowed, others are an error.
     """
+    if not 1 <= limit <= MAX_PAGE or offset < 0:
+        raise ValueError(f"limit must lie in 1..{MAX_PAGE} and offset be at least 0, not {limit}, {offset}")
     total = chosen.agg(F.count(F.lit(1))).scalar()
     return chosen.orderBy(*keys).offset(offset).limit(limit).withColumn("total", total)
 
@@ -123,22 +129,19 @@ def filter_values(orders: DataFrame) -> DataFrame:
     return lists[0].unionByName(lists[1]).orderBy("list_name", "list_value")
 
 
-def with_order_context(
-    orders: DataFrame, items: DataFrame, item_columns: list[str], part_items: int = 1000
-) -> DataFrame:
-    """Each order with its items nested, at most about ``part_items`` to a row.
+def order_context(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Every item row of every order next to the order's row: columns order and item.
 
-    An order of ordinary size is one row.  A larger one continues over
-    ``context_parts`` rows, items spread by hash, so no task ever has to build
-    an array of unbounded length and no item is lost.
+    One row per item at any size; the nested form is for one order at a time
+    (``order_document``).  An order without items keeps a row with a NULL item.
     """
-    parts = F.greatest(F.ceil(F.col("total_items") / part_items), F.lit(1))
-    sized = orders.select("sales_order_id", parts.cast("bigint").alias("context_parts"))
-    spread = F.pmod(F.xxhash64(*item_columns), F.col("context_parts"))
-    grouped = (
-        items.join(sized, "sales_order_id")
-        .withColumn("context_part", F.when(F.col("context_parts") > 1, spread).otherwise(F.lit(0)).cast("bigint"))
-        .groupBy("sales_order_id", "context_parts", "context_part")
-        .agg(F.sort_array(F.collect_list(F.struct(*item_columns))).alias("items"))
-    )
-    return orders.join(grouped, "sales_order_id", "left")
+    headers = orders.select("sales_order_id", F.struct(*orders.columns).alias("order"))
+    rows = items.select("sales_order_id", F.struct(*items.columns).alias("item"))
+    return headers.join(rows, "sales_order_id", "left")
+
+
+def order_document(orders: DataFrame, items: DataFrame, order_id: object) -> DataFrame:
+    """The row of one order with all its items, all columns, as an array."""
+    mine = order_items(items, order_id).drop("item_count")
+    nested = mine.agg(F.sort_array(F.collect_list(F.struct(*mine.columns)))).scalar()
+    return order_by_id(orders, order_id).withColumn("items", nested)

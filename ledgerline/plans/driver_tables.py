@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.sources import sinks
+from ledgerline.sources.catalog import SOURCES
 
 EXPORTS = [
     "order_headers",
@@ -54,25 +55,15 @@ def _billing_doc() -> Column:
     return _text("B", F.col("l_orderkey"), "-", F.col("half"), "-", F.col("batch"))
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute a scan that has fewer splits than there are cores.
-
-    A small file of one row group is read by one task, and broadcast joins would
-    keep all further work in it.  At scale a scan has many splits and stays as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey"]
-    return spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), *keys).withColumns(
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(*keys).withColumns(
         {"half": F.col("l_suppkey") % 2, "batch": F.col("l_linenumber") % 2}
     )
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").repartition("o_orderkey")
 
 
 def shipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,5 +230,17 @@ def write_exports(spark: SparkSession, sf_dir: str, path: str) -> None:
     sinks.write_all(exports(spark, sf_dir, shipped, deliveries, documents), path)
 
 
+def write_jsonl(frames: dict[str, DataFrame], path: str) -> None:
+    """Exports as folders of JSON lines under the names of the catalogue; the partners hold one line
+    that is no JSON.  Spark names the files ``part-*.txt``."""
+    for name, source in SOURCES.items():
+        if name not in frames:
+            continue
+        lines = frames[name].select(F.to_json(F.struct(*frames[name].columns)).alias("value"))
+        if name == "partners":
+            lines = lines.unionByName(lines.limit(1).select(F.lit("{broken").alias("value")))
+        lines.write.text(f"{path}/{source.folder}")
+
+
 def open_exports(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in EXPORTS}

@@ -27,6 +27,7 @@ from ledgerline.operators import (
 from ledgerline.plans import batch, oracle
 from ledgerline.plans.store import DataSet
 from ledgerline.sources import readers, sinks
+from ledgerline.sources.catalog import CUSTOMER_KPI_DDL, ORDER_COLUMNS_DDL, SOURCES
 
 Query = Callable[[DataSet], DataFrame]
 
@@ -121,22 +122,28 @@ def product_desc(d: DataSet) -> DataFrame:
 
 @query(
     """
-    SELECT o_orderkey, CASE o_orderkey % 6
+    SELECT o_orderkey, CASE o_orderkey % 9
         WHEN 4 THEN o_orderdate + INTERVAL 90 MINUTE
-        WHEN 5 THEN o_orderdate - INTERVAL 330 MINUTE END AS parsed
+        WHEN 5 THEN o_orderdate - INTERVAL 330 MINUTE
+        WHEN 6 THEN o_orderdate + INTERVAL 300 MINUTE
+        WHEN 7 THEN o_orderdate + INTERVAL 930 MINUTE
+        WHEN 8 THEN o_orderdate + INTERVAL 600 MINUTE END AS parsed
     FROM orders""",
     chain=False,
 )
 def null_tokens(d: DataSet) -> DataFrame:
     day = F.col("o_orderdate").cast("date").cast("string")
-    kind = F.col("o_orderkey") % 6
+    kind = F.col("o_orderkey") % 9
     text = (
         F.when(kind == 0, "")
         .when(kind == 1, "nan")
         .when(kind == 2, "None")
         .when(kind == 3, "no date")
         .when(kind == 4, F.concat(day, F.lit("T01:30:00.000Z")))
-        .otherwise(F.concat(day, F.lit("T00:00:00+05:30")))
+        .when(kind == 5, F.concat(day, F.lit("T00:00:00+05:30")))
+        .when(kind == 6, F.concat(day, F.lit("T10:00:00+05")))
+        .when(kind == 7, F.concat(day, F.lit("T10:00-0530")))
+        .otherwise(F.concat(day, F.lit("T10:00:00z")))
     )
     raw = table(d, "orders").select("o_orderkey", text.alias("raw"))
     return raw.select("o_orderkey", coerce.parse_or_null("raw").alias("parsed"))
@@ -208,18 +215,34 @@ def items_with_headers(d: DataSet) -> DataFrame:
     return linking.with_headers(_cleaned(d, "order_items"), _cleaned(d, "order_headers"))
 
 
+_DELIVERED = """(
+    SELECT soi.*, soi.sales_order_item AS sales_order_item_norm, odi.* EXCLUDE (sales_order_id, sales_order_item),
+        odh.* EXCLUDE (delivery_id)
+    FROM soi LEFT JOIN odi USING (sales_order_id, sales_order_item) LEFT JOIN odh USING (delivery_id))"""
+
+
+def _delivered(d: DataSet) -> DataFrame:
+    delivered = linking.with_deliveries(_cleaned(d, "order_items"), _cleaned(d, "delivery_items"))
+    return linking.with_delivery_headers(delivered, _cleaned(d, "delivery_headers"))
+
+
+@query(f"SELECT * FROM {_DELIVERED}")
+def items_with_deliveries(d: DataSet) -> DataFrame:
+    return _delivered(d)
+
+
 @query(
     """
-    SELECT sales_order_id, sales_order_item, material_id, sales_order_item_norm, delivery_id,
-        delivery_item, actual_delivery_qty, delivery_plant, storage_location, delivery_created_date,
-        actual_goods_movement_date, goods_movement_status, picking_status, delivery_block,
-        shipping_point
-    FROM linked"""
+    SELECT delivery_id, arg_min(billing_doc_id, (known IS NULL, known, billing_doc_id)) AS billing_doc_id,
+        sum(billed_qty) AS billed_qty, round(sum(billed_amount), 2) AS billed_amount_sum
+    FROM (SELECT *, CASE WHEN billing_doc_id LIKE '%-0' THEN NULL ELSE 7 END AS known FROM bdi)
+    GROUP BY delivery_id"""
 )
-def items_with_deliveries(d: DataSet) -> DataFrame:
-    items = _cleaned(d, "order_items").select(*ITEM_ID, "material_id")
-    delivered = linking.with_deliveries(items, _cleaned(d, "delivery_items"))
-    return linking.with_delivery_headers(delivered, _cleaned(d, "delivery_headers"))
+def billing_per_delivery_ordered(d: DataSet) -> DataFrame:
+    """The first document by a column that is NULL for some: those come last."""
+    known = F.when(~F.col("billing_doc_id").endswith("-0"), F.lit(7))
+    items = _cleaned(d, "billing_items").withColumn("known", known)
+    return rounded(linking.billing_per_delivery(items, "known"), "billed_amount_sum")
 
 
 @query("SELECT * FROM bagg")
@@ -234,34 +257,25 @@ def payments_per_document(d: DataSet) -> DataFrame:
     return rounded(linking.payments_per_document(_cleaned(d, "payments")), "total_amount_paid")
 
 
-@query(
-    """
-    SELECT delivery_id, delivery_item, billing_doc_id, billed_qty, billed_amount_sum, billing_type,
-        billing_date, billing_created, billing_amount, is_cancelled, accounting_document,
-        billing_customer_id, company_code
-    FROM odi LEFT JOIN bagg USING (delivery_id)
-    LEFT JOIN (SELECT * EXCLUDE (amount, orderkey, status) FROM bdh) USING (billing_doc_id)"""
-)
+_BILLED = f"""(
+    SELECT * FROM {_DELIVERED} LEFT JOIN bagg USING (delivery_id)
+    LEFT JOIN (SELECT * EXCLUDE (amount, orderkey, status) FROM bdh) USING (billing_doc_id))"""
+
+
+def _billed(d: DataSet) -> DataFrame:
+    billed = linking.with_billing(_delivered(d), linking.billing_per_delivery(_cleaned(d, "billing_items")))
+    return linking.with_billing_headers(billed, _cleaned(d, "billing_headers"))
+
+
+@query(f"SELECT * FROM {_BILLED}")
 def items_with_billing(d: DataSet) -> DataFrame:
-    delivered = _cleaned(d, "delivery_items").select("delivery_id", "delivery_item")
-    billing = linking.billing_per_delivery(_cleaned(d, "billing_items"))
-    billed = linking.with_billing(delivered, billing)
-    whole = linking.with_billing_headers(billed, _cleaned(d, "billing_headers"))
-    return rounded(whole, "billed_amount_sum", "billing_amount")
+    return rounded(_billed(d), "billed_amount_sum", "billing_amount")
 
 
-@query(
-    """
-    SELECT billing_doc_id, is_cancelled, accounting_document, payment_posting_date,
-        payment_clearing_date, total_amount_paid
-    FROM bdh LEFT JOIN pagg USING (accounting_document)"""
-)
+@query(f"SELECT * FROM {_BILLED} LEFT JOIN pagg USING (accounting_document)")
 def items_with_payments(d: DataSet) -> DataFrame:
-    billed = _cleaned(d, "billing_headers").select(
-        "billing_doc_id", "is_cancelled", "accounting_document"
-    )
     paid = linking.payments_per_document(_cleaned(d, "payments"))
-    return rounded(linking.with_payments(billed, paid), "total_amount_paid")
+    return rounded(linking.with_payments(_billed(d), paid), *_ITEM_AMOUNTS)
 
 
 _ITEM_AMOUNTS = ["billed_amount_sum", "billing_amount", "total_amount_paid"]
@@ -501,12 +515,6 @@ def issue_rates(d: DataSet) -> DataFrame:
     return kpis.issue_rates(d.serving().orders)
 
 
-@query()
-def kpi_document(d: DataSet) -> DataFrame:
-    t = d.serving()
-    return kpis.kpi_document(t.items, t.orders)
-
-
 _STAGE_TEXT = """(SELECT string_agg(lifecycle_stage || '=' || n, ',' ORDER BY lifecycle_stage)
     FROM (SELECT lifecycle_stage, count(*) AS n FROM order_table{where} GROUP BY lifecycle_stage))"""
 
@@ -519,6 +527,19 @@ def _stage_text() -> F.Column:
     return F.array_join(F.sort_array(pairs), ",").alias("stage_text")
 
 
+_DOCUMENT = f"kpi_overview.*, cycle_stats.*, issue_stats.*, {_STAGE_TEXT.format(where='')} AS stage_text"
+
+
+@query(f"SELECT '2025-01-01' AS generated_at, {_DOCUMENT} FROM kpi_overview, cycle_stats, issue_stats")
+def kpi_document(d: DataSet) -> DataFrame:
+    """The document as JSON text, parsed back."""
+    t = d.serving()
+    document = kpis.kpi_document(t.items, t.orders, generated_at="2025-01-01")
+    text = F.to_json(F.struct(*document.columns), {"ignoreNullFields": "false"})
+    parsed = document.select(F.from_json(text, document.schema).alias("p")).select("p.*")
+    return parsed.select("generated_at", "overview.*", "cycle_times.*", "issues.*", _stage_text())
+
+
 @query(
     f"""
     SELECT kpi_overview.*, cycle_stats.*, issue_stats.*, {_STAGE_TEXT.format(where="")} AS stage_text
@@ -537,7 +558,8 @@ def customer_kpis(d: DataSet) -> DataFrame:
 
 @query("SELECT * FROM customer_table")
 def customer_kpis_from_exports(d: DataSet) -> DataFrame:
-    return batch.plan(d.exports()).customers
+    """The whole chain in one plan, from JSON lines."""
+    return batch.plan(readers.read_all(d.spark, d.jsonl(), files="*.txt")).customers
 
 
 def _filtered_sql(where: str) -> str:
@@ -801,6 +823,24 @@ def issues_page(d: DataSet) -> DataFrame:
     return labelled.withColumn("labels", F.array_join("issue_labels", " | ")).drop("issue_labels")
 
 
+@query(
+    """
+    SELECT *, (SELECT count(*) FROM order_table WHERE is_unpaid) AS total FROM order_table WHERE is_unpaid
+    ORDER BY max_issue_severity DESC NULLS LAST, sales_order_id LIMIT 50"""
+)
+def issues_typed(d: DataSet) -> DataFrame:
+    return issues.list_issues(_orders(d), issue_type="unpaid", limit=50).drop("issue_labels")
+
+
+@query(
+    f"""
+    SELECT *, (SELECT count(*) FROM order_table WHERE {_ANY}) AS total FROM order_table WHERE {_ANY}
+    ORDER BY max_issue_severity DESC NULLS LAST, sales_order_id LIMIT 50"""
+)
+def issues_unknown_type(d: DataSet) -> DataFrame:
+    return issues.list_issues(_orders(d), issue_type="no such type", limit=50).drop("issue_labels")
+
+
 @query("SELECT * FROM events ORDER BY ts DESC NULLS LAST, event_id LIMIT 20", chain=False)
 def recent_events(d: DataSet) -> DataFrame:
     return sinks.recent(table(d, "events"), "ts", "event_id")
@@ -808,42 +848,54 @@ def recent_events(d: DataSet) -> DataFrame:
 
 @query(
     """
-    SELECT * FROM events
-    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    WITH e AS (SELECT * REPLACE (CASE WHEN event_id % 50 <> 0 THEN user_id END AS user_id) FROM events),
+    latest AS (
+        SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 3 <> 0 ORDER BY ts DESC, event_id DESC) AS n
+        FROM e WHERE user_id IS NOT NULL)
+    SELECT * EXCLUDE (n) FROM latest
+    WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 <> 0 DESC) = 1
+    UNION ALL SELECT * FROM e WHERE user_id IS NULL""",
     chain=False,
 )
 def upsert_latest(d: DataSet) -> DataFrame:
-    return sinks.latest_per_key(table(d, "events"), "user_id", ["ts", "event_id"])
+    """A first snapshot and an upsert with many updates of a key, and rows without key, published and read."""
+    user = F.when(F.col("event_id") % 50 != 0, F.col("user_id"))
+    events = table(d, "events").withColumn("user_id", user)
+    first, second = d.fresh("snapshot"), d.fresh("snapshot")
+    version = ["ts", "event_id"]
+    sinks.publish(None, events.filter("event_id % 3 = 0"), "user_id", first, version)
+    sinks.publish(d.spark.read.parquet(first), events.filter("event_id % 3 <> 0"), "user_id", second, version)
+    return d.spark.read.parquet(second)
 
 
-_CONTEXT = ["sales_order_item", "lifecycle_stage", "delivery_id", "billing_doc_id"]
+_ORDER_SIDE = "o.lifecycle_stage AS order_stage, o.max_issue_severity AS order_severity"
+_CONTEXT_SQL = f"""
+    SELECT {_ORDER_SIDE}, i.* FROM order_table o
+    JOIN (SELECT {", ".join(linking.ITEM_COLUMNS)} FROM items) i USING (sales_order_id)"""
 
 
-@query(
-    """
-    SELECT sales_order_id, any_value(o.lifecycle_stage) AS lifecycle_stage, count(*) AS item_rows,
-        string_agg(sales_order_item || ':' || i.lifecycle_stage, ',' ORDER BY sales_order_item)
-            AS item_text
-    FROM order_table o JOIN items i USING (sales_order_id) GROUP BY sales_order_id"""
-)
+def _order_side(order: str) -> list[F.Column]:
+    return [
+        F.col(f"{order}.lifecycle_stage").alias("order_stage"),
+        F.col(f"{order}.max_issue_severity").alias("order_severity"),
+    ]
+
+
+@query(_CONTEXT_SQL)
 def order_context(d: DataSet) -> DataFrame:
-    t = d.serving()
-    context = serving.with_order_context(t.orders, t.items, _CONTEXT)
-    texts = F.transform(
-        "items", lambda i: F.concat(i["sales_order_item"], F.lit(":"), i["lifecycle_stage"])
-    )
-    return context.select(
-        "sales_order_id",
-        "lifecycle_stage",
-        F.size("items").cast("bigint").alias("item_rows"),
-        F.array_join(texts, ",").alias("item_text"),
-    )
+    context = serving.order_context(d.serving().orders, d.serving().items)
+    items = [F.col(f"item.{c}").alias(c) for c in linking.ITEM_COLUMNS]
+    return rounded(context.select(*_order_side("order"), *items), *_ITEM_AMOUNTS)
 
 
-@query()
+@query(_CONTEXT_SQL)
 def context_payload(d: DataSet) -> DataFrame:
+    """Each payload parsed back to typed columns."""
     t = d.serving()
-    return payloads.order_payloads(t.orders, t.items, _CONTEXT)
+    shape = f"order {t.orders.schema.simpleString()}, item {t.items.schema.simpleString()}"
+    found = payloads.order_payloads(t.orders, t.items).select(F.from_json("payload", shape).alias("p"))
+    items = [F.col(f"p.item.{c}").alias(c) for c in linking.ITEM_COLUMNS]
+    return rounded(found.select(*_order_side("p.order"), *items), *_ITEM_AMOUNTS)
 
 
 @query(
@@ -854,18 +906,39 @@ def context_payload(d: DataSet) -> DataFrame:
 )
 def context_payload_fields(d: DataSet) -> DataFrame:
     t = d.serving()
-    payload = F.col("payload")
-    return payloads.order_payloads(t.orders, t.items, _CONTEXT).select(
+    customer = F.get_json_object("payload", "$.order.customer_id").alias("customer_id")
+    item = F.get_json_object("payload", "$.item.sales_order_item").alias("first_item")
+    found = payloads.order_payloads(t.orders, t.items).select("sales_order_id", customer, item)
+    return found.groupBy("sales_order_id").agg(
+        F.min("customer_id").alias("customer_id"), F.count("first_item").alias("item_rows"), F.min("first_item").alias("first_item")
+    )
+
+
+@query(
+    f"""
+    SELECT o.sales_order_id, o.total_items, o.lifecycle_stage, count(*) AS item_rows,
+        string_agg(sales_order_item || ':' || i.lifecycle_stage, ',' ORDER BY sales_order_item) AS item_text
+    FROM order_table o JOIN items i USING (sales_order_id) WHERE o.sales_order_id = '{ORDER}'
+    GROUP BY ALL"""
+)
+def order_document(d: DataSet) -> DataFrame:
+    found = serving.order_document(d.serving().orders, d.serving().items, ORDER)
+    texts = F.transform("items", lambda i: F.concat(i["sales_order_item"], F.lit(":"), i["lifecycle_stage"]))
+    return found.select(
         "sales_order_id",
-        F.get_json_object(payload, "$.order.customer_id").alias("customer_id"),
-        F.json_array_length(F.get_json_object(payload, "$.items")).cast("bigint").alias("item_rows"),
-        F.get_json_object(payload, "$.items[0].sales_order_item").alias("first_item"),
+        "total_items",
+        "lifecycle_stage",
+        F.size("items").cast("bigint").alias("item_rows"),
+        F.array_join(F.sort_array(texts), ",").alias("item_text"),
     )
 
 
-@query()
+@query("SELECT * FROM customer_table")
 def customer_payload(d: DataSet) -> DataFrame:
-    return payloads.customer_payloads(d.serving().customers)
+    """Each payload parsed back to typed columns."""
+    customers = d.serving().customers
+    found = payloads.customer_payloads(customers)
+    return found.select(F.from_json("payload", customers.schema).alias("p")).select("p.*")
 
 
 @query(
@@ -901,13 +974,31 @@ def doc_edges(d: DataSet) -> DataFrame:
     return docgraph.edges(d.serving().items, d.exports()["journal"])
 
 
-@query(
-    f"""
-    SELECT sales_order_id, src_type AS node_type, src_id AS node_id FROM ({_EDGES})
-    UNION SELECT sales_order_id, dst_type, dst_id FROM ({_EDGES})"""
+_NODES = " UNION ".join(
+    [
+        f"SELECT sales_order_id, '{kind}' AS node_type, {c} AS node_id FROM items WHERE {c} IS NOT NULL"
+        for kind, c in [
+            ("sales_order", "sales_order_id"),
+            ("delivery", "delivery_id"),
+            ("billing_document", "billing_doc_id"),
+            ("accounting_document", "accounting_document"),
+        ]
+    ]
+    + [
+        "SELECT sales_order_id, 'journal_entry', accounting_document || '/1' FROM items "
+        "WHERE accounting_document IS NOT NULL"
+    ]
 )
+
+
+@query(_NODES)
 def doc_nodes(d: DataSet) -> DataFrame:
-    return docgraph.nodes(docgraph.edges(d.serving().items, d.exports()["journal"]))
+    return docgraph.nodes(d.serving().items, d.exports()["journal"])
+
+
+@query(f"SELECT * FROM ({_NODES}) WHERE sales_order_id = '{ORDER}'")
+def doc_nodes_of_order(d: DataSet) -> DataFrame:
+    return docgraph.of_order(docgraph.nodes(d.serving().items, d.exports()["journal"]), ORDER)
 
 
 @query(
@@ -922,20 +1013,69 @@ def chain_break(d: DataSet) -> DataFrame:
 
 # --- sources, text and display --------------------------------------------
 
-_PROFILED = ["customer", "documents", "events", "lineitem", "orders", "part"]
-_PROFILE_COLUMNS = {"customer": 5, "documents": 5, "events": 6, "lineitem": 11, "orders": 6, "part": 6}
+_EXPORTED = {
+    "order_headers": ("soh", 0), "order_items": ("soi", 0), "delivery_headers": ("odh", 0), "delivery_items": ("odi", 0),
+    "billing_headers": ("bdh", 0), "billing_items": ("bdi", 0), "payments": ("pay", 0), "partners": ("bp", 1),
+    "product_texts": ("(SELECT * FROM pdesc UNION ALL SELECT * FROM pdesc)", 0),
+}
+_FILES = "*.txt"
 
 
 @query(
     " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, count(*) AS row_count, "
-        f"CAST({_PROFILE_COLUMNS[name]} AS BIGINT) AS column_count FROM {name}"
-        for name in _PROFILED
-    ),
-    chain=False,
+        f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST({len(SOURCES[name].fields)} AS BIGINT) "
+        f"AS column_count, CAST({bad} AS BIGINT) AS malformed FROM {source}"
+        for name, (source, bad) in _EXPORTED.items()
+    )
 )
 def load_profile(d: DataSet) -> DataFrame:
-    return readers.load_profile({name: table(d, name) for name in _PROFILED})
+    """Every export as dropped, with the lines that don't parse."""
+    catalog = {name: SOURCES[name] for name in _EXPORTED}
+    profile = readers.load_profile(readers.read_all(d.spark, d.jsonl(), catalog, files=_FILES))
+    broken = F.lit(0).cast("long")
+    for name, source in catalog.items():
+        found = readers.malformed_lines(d.spark, d.jsonl(), source, _FILES).scalar()
+        broken = F.when(F.col("table_name") == name, found).otherwise(broken)
+    return profile.withColumn("malformed", broken)
+
+
+@query("SELECT * FROM soi")
+def scan_jsonl(d: DataSet) -> DataFrame:
+    raw = readers.read_export(d.spark, d.jsonl(), SOURCES["order_items"], _FILES)
+    return cleaning.clean("order_items", raw)
+
+
+@query("SELECT * FROM customer_table WHERE FALSE")
+def scan_missing_folder(d: DataSet) -> DataFrame:
+    """Exports that were never dropped: the chain still plans and has no rows."""
+    nothing = readers.read_all(d.spark, f"{d.folder}/no-such-drop")
+    return batch.plan(nothing).customers
+
+
+@query("SELECT * FROM order_table")
+def csv_round_trip(d: DataSet) -> DataFrame:
+    path = d.fresh("csv")
+    sinks.write_csv(d.serving().orders, path)
+    orders = readers.read_processed_csv(d.spark, path, ORDER_COLUMNS_DDL)
+    return rounded(orders, "total_billed_amount", "total_paid_amount", "revenue_leakage_amount")
+
+
+@query("SELECT * FROM customer_table")
+def json_round_trip(d: DataSet) -> DataFrame:
+    path = d.fresh("json")
+    sinks.write_json(d.serving().customers, path)
+    return d.spark.read.schema(CUSTOMER_KPI_DDL).json(path)
+
+
+@query("SELECT event_id, 2 AS copies, TRUE AS stamped FROM events", chain=False)
+def append_log(d: DataSet) -> DataFrame:
+    path = d.fresh("log")
+    for _ in range(2):
+        sinks.append_log(table(d, "events"), path)
+    log = d.spark.read.parquet(path)
+    return log.groupBy("event_id").agg(
+        F.count(F.lit(1)).cast("int").alias("copies"), (F.count("created_at") == 2).alias("stamped")
+    )
 
 
 @query("SELECT count(*) > 0 AS data_loaded, count(*) AS order_count FROM order_table")
@@ -994,46 +1134,55 @@ def _answers(d: DataSet) -> DataFrame:
         F.col("role").alias("recommendation"),
         F.lit("warning").alias("severity"),
     )
-    form = (F.col("conv_id") + F.col("turn")) % 5
+    form = (F.col("conv_id") + F.col("turn")) % 9
+    array = F.to_json(F.array(one, one))
     text = (
-        F.when(form == 0, F.to_json(F.array(one, one)))
+        F.when(form == 0, array)
         .when(form == 1, F.concat(F.lit("```json\n"), F.to_json(F.array(one)), F.lit("\n```")))
         .when(form == 2, F.to_json(one))
         .when(form == 3, F.concat(F.lit("Found: "), F.to_json(F.array(one)), F.lit(" as asked.")))
-        .otherwise(F.concat(F.lit("[broken "), F.col("text")))
+        .when(form == 4, F.concat(F.lit("[broken "), F.col("text")))
+        .when(form == 5, F.lit("[]"))
+        .when(form == 6, F.concat(F.lit("["), F.to_json(one), F.lit(", null]")))
+        .when(form == 7, F.concat(F.to_json(one), F.lit(', "more": 2')))
+        .otherwise(F.concat(F.to_json(F.array(one)), F.lit(', "more": [1]')))
     )
-    return table(d, "conversations").select("conv_id", "turn", text.alias("answer"))
+    return table(d, "conversations").select("conv_id", "turn", "text", text.alias("answer"))
 
 
 @query(
     """
-    SELECT conv_id, turn,
-        CASE WHEN (conv_id + turn) % 5 = 4 THEN 'AI Insight' ELSE 'T' || turn END AS title,
-        CASE WHEN (conv_id + turn) % 5 = 4 THEN substring('[broken ' || text, 1, 300) ELSE text END
-            AS summary,
-        CASE WHEN (conv_id + turn) % 5 = 4 THEN 'See full response for details.' ELSE role END
-            AS recommendation,
-        CASE WHEN (conv_id + turn) % 5 = 4 THEN 'info' ELSE 'warning' END AS severity
-    FROM conversations, (VALUES (0), (1)) copies(copy)
-    WHERE copy = 0 OR (conv_id + turn) % 5 = 0""",
+    SELECT conv_id, turn, kept.title, kept.recommendation, kept.severity, kept.whole
+    FROM conversations, (SELECT unnest([0, 1]) AS copy), LATERAL (SELECT
+        (conv_id + turn) % 9 IN (4, 7, 8) AS quoted, (conv_id + turn) % 9 = 5 AS empty), LATERAL (SELECT
+        CASE WHEN quoted THEN 'AI Insight' WHEN NOT empty THEN 'T' || turn END AS title,
+        CASE WHEN quoted THEN 'See full response for details.' WHEN NOT empty THEN role END AS recommendation,
+        CASE WHEN quoted THEN 'info' WHEN NOT empty THEN 'warning' END AS severity,
+        NOT empty AS whole) kept
+    WHERE copy = 0 OR (conv_id + turn) % 9 = 0""",
     chain=False,
 )
 def parse_insights(d: DataSet) -> DataFrame:
-    return payloads.parse_insights(_answers(d), "answer")
+    """whole: the summary is the text the answer was made of, or all of an answer that is quoted."""
+    found = payloads.parse_insights(_answers(d).withColumn("raw", F.col("answer")), "answer")
+    whole = (F.col("summary") == F.col("text")) | (F.col("summary") == F.col("raw"))
+    whole = F.coalesce(whole, F.lit(False)).alias("whole")
+    return found.select("conv_id", "turn", "title", "recommendation", "severity", whole)
 
 
 @query(
     """
     SELECT conv_id, turn,
         coalesce(nullif(array_to_string(list_filter(list_transform(string_split(text, chr(10)),
-            lambda x: trim(x)), lambda x: x <> ''), ' '), ''), substring(text, 1, 400)) AS analysis,
-        CASE WHEN turn % 2 = 0 THEN 'Call ' || role || ' | Review order'
+            lambda x: trim(x)), lambda x: x <> ''), ' '), ''), text) AS analysis,
+        CASE WHEN turn % 2 = 0 THEN 'Call ' || role || ' as noted | Review order end | a | b | c | d | twelfth on two lines'
             ELSE 'Review order lifecycle for any incomplete stages.' END AS steps
     FROM conversations""",
     chain=False,
 )
 def split_recommendations(d: DataSet) -> DataFrame:
-    steps = F.concat(F.lit("\n 1. Call "), F.col("role"), F.lit("\nas noted\n2. 3. Review order\n\nend"))
+    first = F.concat(F.lit("\n 1. Call "), F.col("role"), F.lit("\nas noted\n2. 3. Review order\n\nend"))
+    steps = F.concat(first, F.lit("\n3. a\n4. b\n5. c\n6. d\n12. twelfth\non two lines\n"))
     numbered = F.when(F.col("turn") % 2 == 0, F.concat("text", steps)).otherwise(F.col("text"))
     answered = table(d, "conversations").select("conv_id", "turn", numbered.alias("answer"))
     return payloads.split_answers(answered, "answer").select(

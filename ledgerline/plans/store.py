@@ -8,7 +8,6 @@ then read those, as they would read an export drop and a served table.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,54 +21,56 @@ class DataSet:
 
     spark: SparkSession
     sf_dir: str
-    folder: str | None
+    folder: str
     opened: dict = field(default_factory=dict)
 
     def exports(self) -> dict[str, DataFrame]:
         if "exports" not in self.opened:
-            if self.folder is None:
-                self.opened["exports"] = driver_tables.exports(self.spark, self.sf_dir)
-            else:
-                path = f"{self.folder}/exports"
-                driver_tables.write_exports(self.spark, self.sf_dir, path)
-                self.opened["exports"] = driver_tables.open_exports(self.spark, path)
+            path = f"{self.folder}/exports"
+            driver_tables.write_exports(self.spark, self.sf_dir, path)
+            self.opened["exports"] = driver_tables.open_exports(self.spark, path)
         return self.opened["exports"]
 
+    def jsonl(self) -> str:
+        """The exports as JSON-lines folders, as a source system drops them."""
+        if "jsonl" not in self.opened:
+            path = f"{self.folder}/jsonl"
+            driver_tables.write_jsonl(self.exports(), path)
+            self.opened["jsonl"] = path
+        return self.opened["jsonl"]
+
     def serving(self) -> batch.ServingTables:
         if "serving" not in self.opened:
-            if self.folder is None:
-                self.opened["serving"] = batch.plan(self.exports())
-            else:
-                self.opened["serving"] = batch.build(self.exports(), f"{self.folder}/serving")
+            self.opened["serving"] = batch.build(self.exports(), f"{self.folder}/serving")
         return self.opened["serving"]
 
+    def fresh(self, name: str) -> str:
+        """A folder not used before, for results that are written and read back."""
+        self.opened[name] = self.opened.get(name, 0) + 1
+        return f"{self.folder}/{name}-{self.opened[name]}"
+
 
 _data_sets: dict[tuple[str, str], DataSet] = {}
-_scratch: list[tempfile.TemporaryDirectory] = []
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors share; a temporary one only on a single machine."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    if not _scratch:
-        _scratch.append(tempfile.TemporaryDirectory(prefix="ledgerline-", ignore_cleanup_errors=True))
-    return _scratch[0].name
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return configured.rstrip("/")
 
 
-def data_set(spark: SparkSession, sf_dir: str) -> DataSet:
-    """The data set under ``sf_dir``; written at most once in an application.
+def _remove_at_end(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
-    Without a shared folder everything stays one lazy plan instead.
-    """
+
+def data_set(spark: SparkSession, sf_dir: str) -> DataSet:
+    """The data set under ``sf_dir``; written at most once in an application, and removed at its end."""
     application = spark.sparkContext.applicationId
     key = (application, sf_dir)
     if key not in _data_sets:
-        shared = shared_folder(spark)
         name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
-        folder = shared and f"{shared}/ledgerline/{application}/{name}"
+        folder = f"{shared_folder(spark)}/ledgerline/{application}/{name}"
+        _remove_at_end(spark, folder)
         _data_sets[key] = DataSet(spark, sf_dir, folder)
     return _data_sets[key]

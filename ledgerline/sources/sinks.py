@@ -56,19 +56,32 @@ def latest_per_key(df: DataFrame, key: str, version: Sequence[str]) -> DataFrame
     )
 
 
-def upsert_by_key(current: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Each update replaces the current document of the same key; the rest stay."""
+def upsert_by_key(
+    current: DataFrame | None, updates: DataFrame, key: str, version: Sequence[str] = ()
+) -> DataFrame:
+    """Each update replaces the current document of the same key; the rest stay.
+
+    Of several updates of one key the highest ``version`` wins, ties by the
+    other columns, so that any run picks the same.  Rows without a key can
+    replace nothing and be replaced by nothing: they all stay.
+    """
     generation = "_generation"
-    both = current.withColumn(generation, F.lit(0)).unionByName(
-        updates.withColumn(generation, F.lit(1))
-    )
-    return latest_per_key(both, key, [generation]).drop(generation)
+    both = updates.withColumn(generation, F.lit(1))
+    if current is not None:
+        both = current.withColumn(generation, F.lit(0)).unionByName(both)
+    rest = [c for c in updates.columns if c != key and c not in version]
+    newest = latest_per_key(both, key, [generation, *version, *rest])
+    return newest.unionByName(both.filter(F.col(key).isNull())).drop(generation)
 
 
-def publish(current: DataFrame | None, updates: DataFrame, key: str, path: str) -> None:
-    """Write the merged snapshot to ``path``, a folder other than the current one."""
-    merged = updates if current is None else upsert_by_key(current, updates, key)
-    merged.write.mode("errorifexists").parquet(path)
+def publish(
+    current: DataFrame | None, updates: DataFrame, key: str, path: str, version: Sequence[str] = ()
+) -> None:
+    """Write the merged snapshot to ``path``, a folder other than the current one.
+
+    The first snapshot is merged like any other: updates of one key leave one row.
+    """
+    upsert_by_key(current, updates, key, version).write.mode("errorifexists").parquet(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -133,19 +133,22 @@ def test_display(spark):
     assert each(spark, ["paid"], display.stage_name(c)) == ["Paid"]
 
 
-ONE = '{"title":"T","summary":"S","recommendation":"R","severity":"info"}'
+ONE = '{"title":"Late","summary":"Two weeks","recommendation":"Call","severity":"warning"}'
 
 
 @pytest.mark.parametrize(
     "text,titles",
     [
-        (f"[{ONE}]", ["T"]),
-        (f"```json\n[{ONE},\n{ONE}]\n```", ["T", "T"]),
-        (f"Sure: [{ONE}] done.", ["T"]),
-        (ONE, ["T"]),
+        (f"[{ONE}]", ["Late"]),
+        (f"```json\n[{ONE},\n{ONE}]\n```", ["Late", "Late"]),
+        (f"Here: [{ONE}] so far.", ["Late"]),
+        (ONE, ["Late"]),
         ("[]", []),
-        ("This is not JSON at all", ["AI Insight"]),
+        (f"[{ONE}, null]", ["Late"]),
+        ("no brackets anywhere", ["AI Insight"]),
         (f"[{ONE}] and [more]", ["AI Insight"]),
+        (f'[{ONE}], "b": [1]', ["AI Insight"]),
+        (f'{ONE}, "b": 2', ["AI Insight"]),
         (f"[{ONE}", ["AI Insight"]),
         ('{"title":"a [b] c"}', ["a [b] c"]),
         ("", ["AI Insight"]),
@@ -156,18 +159,22 @@ def test_insights(spark, text, titles):
     assert [i.title for i in found] == titles
 
 
-def test_default_insight_quotes_300_chars(spark):
+def test_default_insight_quotes_the_text(spark):
     (found,) = each(spark, ["x" * 500], answers.insights(F.col("c")))
-    assert found[0].summary == "x" * 300
+    assert found[0].summary == "x" * 500
     assert (found[0].severity, found[0].recommendation) == ("info", "See full response for details.")
+    (found,) = each(spark, ["x" * 500], answers.insights(F.col("c"), summary_chars=300))
+    assert found[0].summary == "x" * 300
 
 
 def test_split_answer(spark):
-    text = " First part. \n\nSecond.\n1. Do this\nnot kept\n 2. 3. Then that \n6. six\n"
+    text = " First part. \n\nSecond.\n1. Do this\nin two lines\n 2. 3. Then that \n6. six\n12. twelve 3.5 times\n"
     c = F.col("c")
     assert each(spark, [text], answers.analysis(c)) == ["First part. Second."]
-    assert each(spark, [text], answers.recommendations(c)) == [["Do this", "Then that"]]
+    steps = ["Do this in two lines", "Then that", "six", "twelve 3.5 times"]
+    assert each(spark, [text], answers.recommendations(c)) == [steps]
     assert each(spark, ["1. only"], answers.analysis(c)) == ["1. only"]
-    assert each(spark, ["6. six\nmore"], answers.analysis(c)) == ["6. six more"]
+    assert each(spark, ["6. six\nmore"], answers.recommendations(c)) == [["six more"]]
     assert each(spark, ["plain"], answers.recommendations(c)) == [["Review order lifecycle for any incomplete stages."]]
-    assert each(spark, [" " * 500], answers.analysis(c)) == [" " * 400]
+    assert each(spark, [" " * 500], answers.analysis(c)) == [" " * 500]
+    assert each(spark, [" " * 500], answers.analysis(c, chars=400)) == [" " * 400]

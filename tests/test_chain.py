@@ -38,6 +38,17 @@ def test_product_texts_keep_first_language(cleaned):
     assert {r["material_id"]: r["material_desc"] for r in rows(cleaned["product_texts"])} == {"M1": "screw", "M2": "bolt"}
 
 
+def test_product_texts_of_odd_sources(spark):
+    raw = spark.createDataFrame([("M1", "b"), ("M1", "a")], "product string, productDescription string")
+    assert [tuple(r) for r in cleaning.product_texts(raw).collect()] == [("M1", "a")]
+    assert cleaning.product_texts(raw.drop("product")).collect() == []
+    assert cleaning.product_texts(raw.drop("productDescription")).collect() == []
+    items = spark.createDataFrame([("M1",), ("M9",)], "material_id string")
+    texts = cleaning.product_texts(raw)
+    assert {tuple(r) for r in linking.with_product_texts(items, texts).collect()} == {("M1", "a"), ("M9", None)}
+    assert {tuple(r) for r in linking.with_product_texts(items, texts.limit(0)).collect()} == {("M1", ""), ("M9", "")}
+
+
 def test_billing_per_delivery(cleaned, spark):
     got = {r["delivery_id"]: r for r in rows(linking.billing_per_delivery(cleaned["billing_items"]))}
     assert set(got) == {"D1", "D3", "D4"}

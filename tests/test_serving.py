@@ -117,27 +117,36 @@ def test_documents_count_once(spark):
     assert (nothing.total_revenue_inr, nothing.billing_coverage_pct) == (0.0, 0.0)
 
 
-def test_order_context_is_whole_when_split_into_parts(spark):
+def test_order_context_has_one_grain(spark):
+    """An order of 5000 items gives the same kind of rows as one of one item."""
     head = orders(spark, [dict(sales_order_id="1", total_items=5000), dict(sales_order_id="2"), dict(sales_order_id="3", total_items=0)])
     items = spark.range(5000).select(F.lit("1").alias("sales_order_id"), F.col("id").cast("string").alias("sales_order_item"))
     items = items.unionByName(spark.sql("select '2' as sales_order_id, '10' as sales_order_item"))
-    parts = serving.with_order_context(head, items, ["sales_order_item"], part_items=100).collect()
-    big = [p for p in parts if p.sales_order_id == "1"]
-    assert len(big) == 50 and max(len(p["items"]) for p in big) < 200
-    assert sorted(int(i.sales_order_item) for p in big for i in p["items"]) == list(range(5000))
-    (small,) = [p for p in parts if p.sales_order_id == "2"]
-    assert [i.sales_order_item for i in small["items"]] == ["10"]
-    (bare,) = [p for p in parts if p.sales_order_id == "3"]
-    assert bare["items"] is None
+    rows = serving.order_context(head, items).collect()
+    assert sorted(int(r.item.sales_order_item) for r in rows if r.sales_order_id == "1") == list(range(5000))
+    assert [r.item.sales_order_item for r in rows if r.sales_order_id == "2"] == ["10"]
+    assert [r.item for r in rows if r.sales_order_id == "3"] == [None]
+    assert {r.order.sales_order_id for r in rows} == {"1", "2", "3"}
+    (nested,) = serving.order_document(head, items, 1).collect()
+    assert len(nested["items"]) == 5000 and nested.total_items == 5000
+    assert [r["items"] for r in serving.order_document(head, items, 3).collect()] == [[]]
 
 
 def test_payloads(spark):
     head = orders(spark, [dict(sales_order_id="1", lifecycle_stage="paid"), dict(sales_order_id="9")])
     items = spark.sql("select '1' as sales_order_id, '10' as sales_order_item, cast(null as string) as delivery_id")
-    texts = {r.sales_order_id: json.loads(r.payload) for r in payloads.order_payloads(head, items, ["sales_order_item", "delivery_id"]).collect()}
+    texts = {r.sales_order_id: json.loads(r.payload) for r in payloads.order_payloads(head, items).collect()}
     assert texts["1"]["order"]["lifecycle_stage"] == "paid"
-    assert texts["1"]["items"] == [{"sales_order_item": "10", "delivery_id": None}]
-    assert texts["9"]["items"] == []
+    assert texts["1"]["item"] == {"sales_order_id": "1", "sales_order_item": "10", "delivery_id": None}
+    assert texts["9"]["item"] is None
+
+
+def test_pages_out_of_range(spark):
+    head = orders(spark, [dict(sales_order_id="1")])
+    for limit, offset in ((0, 0), (501, 0), (10, -1)):
+        with pytest.raises(ValueError):
+            serving.list_orders(head, limit=limit, offset=offset)
+    assert serving.list_orders(head, limit=500).count() == 1
 
 
 def test_graph(spark):
@@ -150,7 +159,10 @@ def test_graph(spark):
     got = {(r.sales_order_id, r.src_id, r.dst_id) for r in links.collect()}
     assert links.count() == len(got)
     assert got == {("1", "1", "D1"), ("1", "D1", "B1"), ("1", "B1", "A1"), ("1", "A1", "A1/1"), ("1", "A1", "A1/2"), ("2", "2", "D2")}
-    assert docgraph.nodes(links).count() == 8
+    found = docgraph.nodes(items, journal)
+    assert found.count() == found.distinct().count() == 9
+    assert [r.node_id for r in docgraph.of_order(found, 3).collect()] == ["3"]
+    assert docgraph.of_order(links, 3).isEmpty()
     flags = spark.createDataFrame([(False, False, False), (True, False, False), (True, True, False), (True, True, True)],
                                   "has_delivery boolean, has_billing boolean, has_payment boolean")
     assert [r.break_point for r in docgraph.chain_breaks(flags).collect()] == ["delivery", "billing", "payment", None]
@@ -163,6 +175,13 @@ def test_upsert_and_publish(spark, tmp_path):
     sinks.publish(old, new, "id", path)
     got = {r.id: (r.n, r.t) for r in spark.read.parquet(path).collect()}
     assert got == {"a": (1, "x"), "b": (None, "z"), "c": (3, None)}
+    # rows without a key stay in both snapshots; several updates of a key leave the highest version
+    more = spark.createDataFrame([("a", 5, "five"), ("a", 7, "seven"), ("a", 6, "six"), (None, 1, "k")], "id string, n int, t string")
+    for current, name in ((None, "first"), (spark.read.parquet(path).unionByName(more.filter("id is null")), "next")):
+        sinks.publish(current, more, "id", str(tmp_path / name), ["n"])
+        rows_ = [tuple(r) for r in spark.read.parquet(str(tmp_path / name)).collect()]
+        assert [r for r in rows_ if r[0] == "a"] == [("a", 7, "seven")]
+        assert rows_.count((None, 1, "k")) == (1 if current is None else 2)
 
 
 def test_latest_and_log(spark, tmp_path):
