@@ -118,6 +118,7 @@ def delivery_blocked(items: DataFrame) -> DataFrame:
     return items.withColumns(_blocked())
 
 
+# The flags that make up the severity.
 SCORED_FLAGS = [
     "is_delivery_delayed",
     "is_payment_overdue",

@@ -12,7 +12,7 @@ from ledgerline.operators.milestones import CYCLES
 # Stage names in alphabetical order: the order in which ties are settled.
 _STAGE_NAMES = ["billed", "cancelled", "delivered", "ordered", "paid"]
 
-# Columns an order's items share, because they come from its header.
+# Columns of the order table that an order's items share, because they come from its header.
 _HEADER = [
     "customer_id",
     "customer_name",
@@ -22,6 +22,7 @@ _HEADER = [
     "currency",
     "order_total_net_amount",
 ]
+# Issue flags of the order table.
 _FLAGS = [
     "is_delivery_delayed",
     "is_payment_overdue",
@@ -49,44 +50,51 @@ def _most_frequent_stage() -> Column:
     return choice
 
 
-def order_view(items: DataFrame) -> DataFrame:
+def _numbers() -> list[Column]:
+    """What an order's items add up to; numbers only, so that the aggregate hashes."""
+    return [
+        F.count("sales_order_item").alias("total_items"),
+        F.sum("billed_amount_sum").alias("total_billed_amount"),
+        F.sum("total_amount_paid").alias("total_paid_amount"),
+        *[F.count_if(F.col("lifecycle_stage") == s).alias(f"_n_{s}") for s in _STAGE_NAMES],
+        *[F.min(c).alias(c) for c in CYCLES],
+        *[F.bool_or(c).alias(c) for c in _FLAGS],
+        F.max("issue_severity").alias("max_issue_severity"),
+    ]
+
+
+def order_view(items: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """One row per order.
 
-    Two steps, so that the step which reads every item keeps only numbers in
-    its aggregation buffers (a hash aggregate, combined before the shuffle; a
-    text minimum would force a sort of all items).  Header columns are grouping
-    keys there.  The second step runs on one row per order and settles header
-    columns that differ within an order on the smallest value.
+    With ``headers`` (one row per order, customer name included) items are
+    grouped by order id alone: one shuffle of combined numbers, and the header
+    columns join them.  Without, header columns are taken from the items: they
+    are grouping keys of a first step, so that its buffers hold numbers only (a
+    text minimum would force a sort of all items), and a second step over one
+    row per order settles those that differ on the smallest value.
     """
-    per_header = (
-        items.filter(F.col("sales_order_id").isNotNull())
-        .groupBy("sales_order_id", *_HEADER)
-        .agg(
-            F.count("sales_order_item").alias("total_items"),
-            F.sum("billed_amount_sum").alias("total_billed_amount"),
-            F.sum("total_amount_paid").alias("total_paid_amount"),
-            *[F.count_if(F.col("lifecycle_stage") == s).alias(f"_n_{s}") for s in _STAGE_NAMES],
+    known = items.filter(F.col("sales_order_id").isNotNull())
+    if headers is not None:
+        numbers = known.groupBy("sales_order_id").agg(*_numbers())
+        orders = numbers.join(headers.select("sales_order_id", *_HEADER), "sales_order_id", "left")
+    else:
+        per_header = known.groupBy("sales_order_id", *_HEADER).agg(*_numbers())
+        orders = per_header.groupBy("sales_order_id").agg(
+            *[F.min(c).alias(c) for c in _HEADER],
+            F.sum("total_items").alias("total_items"),
+            F.sum("total_billed_amount").alias("total_billed_amount"),
+            F.sum("total_paid_amount").alias("total_paid_amount"),
+            *[F.sum(f"_n_{s}").alias(f"_n_{s}") for s in _STAGE_NAMES],
             *[F.min(c).alias(c) for c in CYCLES],
             *[F.bool_or(c).alias(c) for c in _FLAGS],
-            F.max("issue_severity").alias("max_issue_severity"),
+            F.max("max_issue_severity").alias("max_issue_severity"),
         )
-    )
-    orders = per_header.groupBy("sales_order_id").agg(
-        *[F.min(c).alias(c) for c in _HEADER],
-        F.sum("total_items").alias("total_items"),
-        F.coalesce(F.sum("total_billed_amount"), F.lit(0.0)).alias("total_billed_amount"),
-        F.coalesce(F.sum("total_paid_amount"), F.lit(0.0)).alias("total_paid_amount"),
-        *[F.sum(f"_n_{s}").alias(f"_n_{s}") for s in _STAGE_NAMES],
-        *[F.min(c).alias(c) for c in CYCLES],
-        *[F.bool_or(c).alias(c) for c in _FLAGS],
-        F.max("max_issue_severity").alias("max_issue_severity"),
-    )
     return orders.select(
         "sales_order_id",
         *_HEADER,
         "total_items",
-        "total_billed_amount",
-        "total_paid_amount",
+        F.coalesce("total_billed_amount", F.lit(0.0)).alias("total_billed_amount"),
+        F.coalesce("total_paid_amount", F.lit(0.0)).alias("total_paid_amount"),
         _most_frequent_stage().alias("lifecycle_stage"),
         *CYCLES,
         *_FLAGS,

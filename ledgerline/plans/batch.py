@@ -24,12 +24,17 @@ class ServingTables:
 
 def plan(raw: Mapping[str, DataFrame]) -> ServingTables:
     """The whole chain as one lazy plan over raw exports."""
-    items = milestones.with_milestones(linking.unified_items(clean_all(raw)))
-    return over_items(items)
+    cleaned = clean_all(raw)
+    return over_items(milestones.with_milestones(linking.unified_items(cleaned)), named_headers(cleaned))
 
 
-def over_items(items: DataFrame) -> ServingTables:
-    orders = rollup.order_view(items)
+def named_headers(cleaned: Mapping[str, DataFrame]) -> DataFrame:
+    """Order headers with their customers' names."""
+    return linking.with_partners(cleaned["order_headers"], cleaned["partners"])
+
+
+def over_items(items: DataFrame, headers: DataFrame | None = None) -> ServingTables:
+    orders = rollup.order_view(items, headers)
     return ServingTables(items, orders, kpis.customer_kpis(orders), kpis.kpi_document(items, orders))
 
 
@@ -53,7 +58,8 @@ def build(raw: Mapping[str, DataFrame], path: str) -> ServingTables:
     sinks.write_serving(items.sortWithinPartitions(*layout), f"{path}/items")
     written_items = spark.read.parquet(f"{path}/items")
     sinks.write_serving(
-        rollup.order_view(written_items).sortWithinPartitions("sales_order_id"), f"{path}/orders"
+        rollup.order_view(written_items, named_headers(clean_all(raw))).sortWithinPartitions("sales_order_id"),
+        f"{path}/orders",
     )
     written_orders = spark.read.parquet(f"{path}/orders")
     summaries = {

@@ -468,7 +468,7 @@ def _orders(d: DataSet) -> DataFrame:
 
 @query("SELECT * FROM order_table")
 def order_view(d: DataSet) -> DataFrame:
-    return rounded(rollup.order_view(d.serving().items), *_ORDER_AMOUNTS)
+    return rounded(rollup.order_view(d.serving().items, batch.named_headers(cleaning.clean_all(d.exports()))), *_ORDER_AMOUNTS)
 
 
 @query(

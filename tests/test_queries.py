@@ -9,14 +9,15 @@ import pytest
 
 import __spark_entry__ as entry_module
 from conftest import TESTDATA
+from ledgerline.plans import queries
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-ORACLES = entry_module.oracle_sql()
 # the training-data queries have tests of their own
-QUERIES = {name: q for name, q in entry_module.queries().items() if name in ORACLES and name != "pipeline"}
+QUERIES = {name: q for name, q in entry_module.queries().items() if name in queries.QUERIES}
+ORACLES = queries.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +50,8 @@ def test_query(spark, engine, name):
 
 
 def test_oracles_belong_to_queries():
-    assert set(ORACLES) <= set(entry_module.queries())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_queries_leave_the_session_alone(spark):
