@@ -209,14 +209,14 @@ def mixed_texts(docs: DataFrame, scratch: Scratch, recipe: Recipe = Recipe()) ->
     """The mix itself, with the columns of ``docs``: a row per complete pass over a document,
     unchanged, and one with the chosen words of the last pass, joined by spaces.
 
-    Documents that the mix doesn't take at all go.  Rows of one id and size share
+    Documents that the mix doesn't take at all go, as do those without words.  Rows of one id and size share
     one plan, so repeated ids stay apart only if their sizes differ; equal rows
     are all planned alike.
     """
     rows = plan(docs, recipe, scratch).select("doc_id", "source", "size", "whole", spans().alias("spans"))
     once = rows.groupBy("doc_id", "source", "size").agg(F.first("whole").alias("_whole"), F.first("spans").alias("_spans"))
     once = once.toDF("_id", "_source", "_size", "_whole", "_spans")
-    own = docs.withColumn("_words", words())
+    own = docs.withColumn("_words", words()).filter("_words > 0")
     same = [own["doc_id"].eqNullSafe(once["_id"]), own["source"].eqNullSafe(once["_source"])]
     both = own.join(once, [*same, own["_words"] == once["_size"]])
     pieces = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))

@@ -73,4 +73,59 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+def _draw(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+
+
+_R = mixing.Recipe()
+
+#: Expected results in SQL.  Only the mix can be stated there; the others are held against plain versions in the tests.
+ORACLES: dict[str, str] = {
+    "op3_mixing": f"""
+    WITH counted AS (
+        SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+        FROM documents
+    ), drawn AS (
+        SELECT *, {_draw(f"'{_R.seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size")} AS draw FROM counted
+    ), listed AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid
+        FROM drawn GROUP BY source
+    ), weighed AS (
+        SELECT *, CAST([{", ".join(map(str, _R.weights))}][(sid - 1) % {len(_R.weights)} + 1] AS DOUBLE) AS weight,
+            CAST(source_size AS DOUBLE) * {_R.most} AS cap, CAST(sum(source_size) OVER () AS BIGINT) * {_R.share}::DOUBLE AS goal
+        FROM listed
+    ), levels AS (
+        SELECT *, cap / weight AS turn, (goal - coalesce(sum(cap) OVER earlier, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS level
+        FROM weighed WINDOW earlier AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ), aimed AS (
+        SELECT *, least(cap, coalesce(max(level) FILTER (WHERE level < turn) OVER () * weight, cap)) AS target,
+            CAST(greatest(1, ceil(goal / {_R.blocks})) AS BIGINT) AS block
+        FROM levels
+    ), quotients AS (
+        SELECT sid, target / (2 * k + 1) AS quotient, k, CAST(round(goal / block) AS BIGINT) AS places
+        FROM aimed, LATERAL (SELECT unnest(range(0, CAST(ceil(target / block) AS BIGINT) + 3)) AS k)
+        WHERE target > 0
+    ), seats AS (
+        SELECT sid, count(*) AS seats
+        FROM (SELECT sid, places, row_number() OVER (ORDER BY quotient DESC, sid, k) AS place FROM quotients)
+        WHERE place <= places GROUP BY sid
+    ), sized AS (
+        SELECT aimed.*, coalesce(seats, 0) AS seats,
+            CAST(greatest(1, ceil(source_size / block)) AS BIGINT) AS n FROM aimed LEFT JOIN seats USING (sid)
+    ), dealt AS (
+        SELECT *, least(seats, {_R.most} * n) // n AS whole, least(seats, {_R.most} * n) % n AS rest,
+            {_draw(f"'{_R.seed}:' || sid")} % n AS shift
+        FROM sized
+    ), placed AS (
+        SELECT doc_id, size, dealt.* EXCLUDE (source), CAST(coalesce(sum(size) OVER (PARTITION BY sid
+            ORDER BY draw, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+        FROM drawn JOIN dealt ON drawn.source IS NOT DISTINCT FROM dealt.source
+    )
+    SELECT doc_id, size, source_size, target, CAST(whole * size + CASE WHEN size > 0 AND rest > 0 THEN
+        list_sum(list_transform(range(start // block, (start + size - 1) // block + 1),
+            lambda b: CASE WHEN (b * {mixing.STRIDE} + shift) % n < rest
+                THEN least(size, (b + 1) * block - start) - greatest(0, b * block - start) ELSE 0 END))
+        ELSE 0 END AS BIGINT) AS taken
+    FROM placed""",
+}

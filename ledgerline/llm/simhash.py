@@ -191,6 +191,15 @@ def links(fingerprints: DataFrame, scratch: Scratch, bits: int = 4) -> DataFrame
     return rows.groupBy(*per).applyInPandas(meet, "a bigint, b bigint")
 
 
+def _grouped(docs: DataFrame, scratch: Scratch, size: int, bits: int, seed: int) -> DataFrame:
+    """doc_id, print (hash of the text), fp and component (a fingerprint) of every document row."""
+    own = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
+    found = scratch.write(with_fingerprints(own, "text", "fp", size, seed), "documents")
+    edges = scratch.write(links(found, scratch, bits), "edges")
+    parts = connected(edges, scratch).withColumnRenamed("node", "fp")
+    return found.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def groups(docs: DataFrame, scratch: Scratch, size: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp (signed long) and component_id of every document row.
 
@@ -199,16 +208,9 @@ def groups(docs: DataFrame, scratch: Scratch, size: int = 4, bits: int = 4, seed
     like any other.  Null ids get their component as others do but never name
     one unless no id of the component is set; repeated rows stay.
     """
-    found = with_fingerprints(docs.select("doc_id", "text"), "text", "fp", size, seed)
-    found = scratch.write(found, "documents")
-    edges = scratch.write(links(found, scratch, bits), "edges")
-    parts = connected(edges, scratch).withColumnRenamed("node", "fp")
-    per_print = found.groupBy("fp").agg(F.min("doc_id").alias("own"))
-    named = per_print.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = scratch.write(named, "named")
-    smallest = named.groupBy("component").agg(F.min("own").alias("component_id"))
-    label = named.join(smallest, "component").select("fp", "component_id")
-    return found.join(label, "fp").select("doc_id", "fp", "component_id")
+    found = scratch.write(_grouped(docs, scratch, size, bits, seed), "grouped")
+    smallest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(smallest, "component").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):
@@ -216,16 +218,19 @@ def fingerprint_hex(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def deduplicated(docs: DataFrame, scratch: Scratch, size: int = 4, bits: int = 4) -> DataFrame:
-    """One document of each group: the one of the smallest id, with all its columns.
+def deduplicated(docs: DataFrame, scratch: Scratch, size: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
+    """One document of each group, with all its columns: the one of the smallest id, null ids last.
 
-    Rows with a null id stay, unless a document with an id is in their group or
-    they repeat; of rows that share the smallest id one stays.
+    Of rows that share that id the one with the smallest hash of its text stays,
+    and of rows equal in both the smallest by all columns.
     """
-    found = groups(docs, scratch, size, bits)
-    kept = found.groupBy("component_id").agg(F.min("fp").alias("_fp"))
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    del kept
-    text_order = F.struct(*[F.col(c) for c in docs.columns])
-    rows = docs.join(first.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return rows.groupBy("doc_id").agg(F.min(text_order).alias("_row")).select("_row.*")
+    found = _grouped(docs, scratch, size, bits, seed)
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("print").alias("_print"))
+    kept = scratch.write(found.groupBy("component").agg(F.min(order).alias("first")).select("first.*"), "kept")
+    key = ["_none", "_id", "_print"]
+    keyed = docs.withColumns(
+        {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_print": F.xxhash64("text")}
+    )
+    rows = keyed.join(kept, key, "left_semi")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    return rows.groupBy(*key).agg(F.min(whole).alias("_row")).select("_row.*")

@@ -80,17 +80,18 @@ def _shape(segment: Column) -> Column:
     return F.regexp_replace(hexadecimal, r"[0-9]+", "{n}")
 
 
-def _differs(own: Column, own_n: Column, whole: Column, whole_n: Column, errors: float) -> Column:
+def _differs(own: Column, own_n: Column, whole: Column, whole_n: Column, errors: float, more: int) -> Column:
     """Whether a share among ``own_n`` differs from the share among the rest of ``whole_n``.
 
-    Either side counts one hit and one miss more than it has, so that a side
-    without evidence lies half way, unlike one that is clearly good or bad.
+    Either side counts ``more`` hits and misses more than it has: with one, a
+    side without evidence lies half way, unlike one that is clearly good or bad.
     """
-    rest, rest_n = whole - own + 1, whole_n - own_n + 2
-    own, own_n = own + 1, own_n + 2
+    rest, rest_n = whole - own + more, whole_n - own_n + 2 * more
+    own, own_n = own + more, own_n + 2 * more
     pooled = (own + rest) / (own_n + rest_n)
     error = F.sqrt(pooled * (1 - pooled) * (1 / own_n + 1 / rest_n))
-    return F.abs(own / own_n - rest / rest_n) > F.lit(errors) * error
+    apart = F.abs(own / own_n - rest / rest_n) > F.lit(errors) * error
+    return F.when((own_n > 0) & (rest_n > 0), apart).otherwise(False)
 
 
 def _rates(rows: DataFrame, *by: str) -> DataFrame:
@@ -115,8 +116,8 @@ def _level(rows: DataFrame, settings: Settings) -> DataFrame:
         *[F.sum(c).alias(f"all_{c}") for c in ("n", "bad", "labelled", "ends")],
     )
     own = own.join(whole, node)
-    unlike = _differs(F.col("bad"), F.col("labelled"), F.col("all_bad"), F.col("all_labelled"), settings.differ)
-    unlike |= _differs(F.col("ends"), F.col("n"), F.col("all_ends"), F.col("all_n"), settings.differ)
+    unlike = _differs(F.col("bad"), F.col("labelled"), F.col("all_bad"), F.col("all_labelled"), settings.differ, 1)
+    unlike |= _differs(F.col("ends"), F.col("n"), F.col("all_ends"), F.col("all_n"), settings.differ, 0)
     varies = F.col("kinds") * 2 > F.col("all_n")
     merged = (F.col("kinds") >= 3) & (varies | ~unlike)
     own = own.select(*node, "shape", merged.alias("merged"), "values")
