@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import connected
@@ -33,7 +36,6 @@ MAP_BITS = 1 << 26
 
 _RNG = np.random.default_rng(20_240_131)
 _FACTORS = _RNG.integers(0, 1 << 32, BANDS * EACH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_STEPS = _RNG.integers(0, 1 << 32, BANDS * EACH, dtype=np.uint64).astype(np.uint32)
 _BLEND = _RNG.integers(0, 1 << 63, (BANDS, EACH), dtype=np.uint64) | np.uint64(1)
 
 
@@ -65,10 +67,11 @@ def _minima(codes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         longer[: n - width] = h[: n - width] * power + h[width:]
         h, power, width = longer, np.uint32(int(power) ** 2 & 0xFFFFFFFF), 2 * width
     out = np.append(_mixed(out), np.uint32(0))
-    found = np.empty((len(cuts) // 2, len(_FACTORS)), np.uint32)
-    for j, (factor, step) in enumerate(zip(_FACTORS, _STEPS)):
-        found[:, j] = np.minimum.reduceat(out * factor + step, cuts)[::2]
-    return found
+    found, turned = np.empty((len(_FACTORS), len(cuts) // 2), np.uint32), np.empty_like(out)
+    for row, factor in zip(found, _FACTORS):  # odd factors permute the mixed values
+        np.multiply(out, factor, out=turned)
+        row[:] = np.minimum.reduceat(turned, cuts)[::2]
+    return found.T
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -77,7 +80,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
     A very long line is hashed in stretches that overlap by a shingle less one character.
     """
     pieces, owner = [], []
-    for i, line in enumerate(lines):
+    for i, line in enumerate(map(str.lower, lines)):
         for at in range(0, max(1, len(line) - SHINGLE + 1), CHARS):
             pieces.append(line[at : at + CHARS + SHINGLE - 1])
             owner.append(i)
@@ -103,6 +106,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def shingles(line: str) -> set[str]:
+    line = line.lower()
     return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
@@ -115,9 +119,10 @@ def similarity(a: set, b: set) -> float:
 def occurrences(docs: DataFrame) -> DataFrame:
     """Every line that can be compared: doc_id, print (hash of the text), line (from 0), key, spelled.
 
-    spelled is the line in lower case without white space at its ends; key its hash.
+    spelled is the line without white space at its ends; key its hash.  Lines
+    that differ in case only have different keys but the same shingles.
     """
-    trimmed = F.btrim(F.lower(F.col("raw")), F.lit(" \t\r\x0b\x0c"))
+    trimmed = F.btrim(F.col("raw"), F.lit(" \t\r\x0b\x0c"))
     own = docs.select("doc_id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     own = own.select("doc_id", "print", "line", trimmed.alias("spelled"))
     return own.filter(F.char_length("spelled") >= SHINGLE).withColumn("key", F.xxhash64("spelled"))
@@ -156,7 +161,8 @@ def _worth_a_look(found: DataFrame, keys: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("map", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     set_ = F.expr("shiftright(byte, cast(bit % 8 as int)) & 1") == 1
     marked = marked.withColumn("byte", byte).filter(set_)
-    return marked.join(keys, "key", "left_semi").groupBy("key").agg(F.first("spelled").alias("spelled"))
+    # not a semi join, which would be moved ahead of the map
+    return marked.join(keys.distinct(), "key").groupBy("key").agg(F.first("spelled").alias("spelled"))
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
@@ -177,15 +183,16 @@ def _compared(pairs: DataFrame) -> DataFrame:
 def _among(frame: pd.DataFrame) -> pd.DataFrame:
     """Links among members of a bucket that don't both link to its center.
 
-    Distances 1 - similarity obey the triangle inequality, so members whose
-    distances from the center differ by more than the limit can't be alike.
-    Members already joined need no comparison.
+    Two sets alike share a shingle among the rarest fifth of either, rarity
+    counted in the bucket: only pairs that do are looked at.  Distances
+    1 - similarity obey the triangle inequality, so members whose distances from
+    the center differ by more than the limit can't be alike either.  Members
+    already joined need no comparison.
     """
-    keys, far = frame["key"].to_numpy(), 1 - frame["similarity"].to_numpy()
+    keys, far = frame["key"].tolist(), (1 - frame["similarity"]).tolist()
     sets = [shingles(s) for s in frame["spelled"]]
-    sizes = np.array([len(s) for s in sets])
-    left, right = frame["left"].to_numpy(), frame["right"].to_numpy()
-    near, chunk = far <= 1 - ALIKE, frame["chunk"].to_numpy()
+    apart = frame["left"].iloc[0] != frame["right"].iloc[0]
+    near, chunk = [f <= 1 - ALIKE for f in far], frame["chunk"].tolist()
     root = list(range(len(keys)))
 
     def find(x: int) -> int:
@@ -194,20 +201,22 @@ def _among(frame: pd.DataFrame) -> pd.DataFrame:
             x = root[x]
         return x
 
-    for group in np.flatnonzero(near)[1:]:
-        root[int(group)] = int(np.flatnonzero(near)[0])
+    linked = [i for i, n in enumerate(near) if n]
+    for i in linked[1:]:
+        root[i] = linked[0]
+    count = Counter(chain.from_iterable(sets))
+    holders: dict[str, list[int]] = {}
     out = []
-    for i in range(len(keys)):
-        can = np.abs(far - far[i]) <= 1 - ALIKE + 1e-9
-        can &= np.minimum(sizes, sizes[i]) >= ALIKE * np.maximum(sizes, sizes[i]) - 1e-9
-        can[: i + 1] = False
-        if left[i] != right[i]:
-            can &= chunk != chunk[i]
-        if near[i]:
-            can &= ~near
-        for j in np.flatnonzero(can).tolist():
+    for i, own in enumerate(sets):
+        rarest = sorted(own, key=lambda x: (count[x], x))[: len(own) - math.ceil(ALIKE * len(own) - 1e-9) + 1]
+        met = {j for x in rarest for j in holders.get(x, ())}
+        for x in rarest:
+            holders.setdefault(x, []).append(i)
+        for j in sorted(met):
+            if (near[i] and near[j]) or (apart and chunk[i] == chunk[j]) or abs(far[i] - far[j]) > 1 - ALIKE + 1e-9:
+                continue
             x, y = find(i), find(j)
-            if x != y and similarity(sets[i], sets[j]) >= ALIKE:
+            if x != y and similarity(own, sets[j]) >= ALIKE:
                 root[y] = x
                 out.append((keys[i], keys[j]))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -225,24 +234,30 @@ def like_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = occurrences(docs)
     signed = scratch.write(_signed(found), "signed")
     members = signed.filter("bands IS NOT NULL").select(F.explode("bands").alias("band"), "key")
-    members = members.groupBy("band", "key").agg(F.lit(1).alias("one")).drop("one")
-    per = members.groupBy("band").agg(F.min("key").alias("center"), F.count(F.lit(1)).alias("n"))
-    shared = scratch.write(members.join(per.filter("n > 1"), "band"), "shared")
-    pairs = scratch.write(shared.filter("key != center").select(F.col("key").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    per = Window.partitionBy("band")
+    members = members.withColumn("center", F.min("key").over(per)).withColumn("last", F.max("key").over(per))
+    shared = members.filter("center != last AND key != center").select("band", "key", "center").distinct()
+    shared = scratch.write(shared, "shared")
+    pairs = scratch.write(shared.select(F.col("key").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
     spelled = scratch.write(_worth_a_look(found, keys), "spelled")
     first = spelled.withColumnsRenamed({"key": "a", "spelled": "a_spelled"})
     second = spelled.withColumnsRenamed({"key": "b", "spelled": "b_spelled"})
-    compared = scratch.write(_compared(pairs.join(second, "b").join(first, "a")), "compared")
+    # joined by center last, so that its pairs come together
+    compared = scratch.write(_compared(pairs.join(first, "a").join(second, "b")), "compared")
 
-    to_center = compared.withColumnsRenamed({"a": "key", "b": "center"})
-    wide = shared.filter("n > 2 AND key != center").join(to_center, ["key", "center"])
-    # buckets with the same members and center need one look
+    # Who isn't alike the center, but near enough that a line alike both may exist, is held against
+    # the center's like; who isn't even near, only against the others that aren't alike.
+    wide = shared.join(compared.withColumnsRenamed({"a": "key", "b": "center"}), ["key", "center"])
+    other, border = F.col("similarity") < ALIKE, F.col("similarity").between(2 * ALIKE - 1 - 1e-9, ALIKE - 1e-12)
     mark = F.sum(F.pmod(F.xxhash64("key", "center"), F.lit(1 << 40))).alias("mark")
-    apart = F.max(F.when(F.col("similarity") < ALIKE, 1).otherwise(0)).alias("apart")
-    todo = wide.groupBy("band", "center").agg(F.count(F.lit(1)).alias("m"), mark, apart).filter("apart = 1")
-    todo = todo.groupBy("center", "m", "mark").agg(F.min("band").alias("band"))
-    rest = wide.drop("n").join(todo.select("band", "m"), "band")
+    todo = wide.groupBy("band", "center").agg(
+        F.count(F.lit(1)).alias("m"), mark, F.count_if(other).alias("others"), F.max(border).alias("bordered")
+    )
+    todo = todo.filter("m > 1 AND (others > 1 OR bordered)")
+    # buckets with the same members and center need one look
+    todo = todo.groupBy("center", "m", "mark", "others", "bordered").agg(F.min("band").alias("band"))
+    rest = wide.join(todo.select("band", "m", "bordered"), "band").filter(other | F.col("bordered"))
     chunks = F.ceil(F.col("m") / CHUNK)
     rest = rest.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
@@ -282,14 +297,18 @@ def cleaned(docs: DataFrame, scratch: Scratch) -> DataFrame:
     gone = gone.withColumnRenamed("gone", "_gone")
     same = [docs["doc_id"].eqNullSafe(gone["_id"]), F.xxhash64(docs["text"]) == gone["_print"]]
     rows = docs.join(gone, same, "left")
-    parts = F.split("text", "\n", -1)
-    all_lines = F.sequence(F.lit(0), F.size(parts) - 1)
-    stay = F.array_except(all_lines, F.col("_gone"))
-    text = F.array_join(F.transform(stay, lambda i: F.get(F.col("_parts"), i)), "\n")
-    rows = rows.withColumn("_parts", parts).withColumn("_stay", stay)
-    before = F.when(F.col("text").isNull(), 0).otherwise(F.size("_parts")).cast("long")
-    after = F.when(F.col("_gone").isNull(), before).otherwise(F.size("_stay")).cast("long")
-    rows = rows.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text))
+
+    def without(parts: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+
+    # inside a lambda, so that a text is split once
+    rest = F.transform(F.array(F.split("text", "\n", -1)), without)[0]
+    breaks = F.char_length("text") - F.char_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    before = F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long")
+    after = before - F.coalesce(F.size("_gone"), F.lit(0))
+    after = F.when(F.col("_gone").isNull(), before).otherwise(after)
+    rows = rows.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))
     kept = [c for c in docs.columns if c not in ("text", "lines_before", "lines_after")]
     return rows.select(
         *[docs[c] for c in kept], F.col("_text").alias("text"), before.alias("lines_before"), after.alias("lines_after")
