@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.work import Scratch
 
 #: Labelled rows the model is fitted to at most, of either class; chosen by a hash of the id.
-SAMPLE_PER_CLASS = 12_000
+SAMPLE_PER_CLASS = 8_000
 
 #: Terms whose place in the model a worker remembers before it starts afresh.
 KEPT = 500_000
@@ -102,7 +102,7 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, settings: Settings = Se
     toxic = np.bincount(where, np.repeat(labels, [len(d) for d in documents]), len(keys))
     off = np.maximum(np.abs(toxic * n - counts * ones) - n / 2, 0.0)
     spread = np.maximum(counts * (n - counts) * (ones * float(n - ones)), 1.0)
-    keys = keys[n * off**2 / spread >= settings.evidence]
+    keys = keys[n * off**2 / spread >= settings.evidence]  # as in _evidence
     if not len(keys):
         return empty
     rows = []
@@ -147,6 +147,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _evidence(toxic: Column, count: Column, n: int, ones: int) -> Column:
+    """Chi-square with Yates' correction of a term in ``count`` of ``n`` documents, ``toxic`` of them toxic."""
+    count, toxic = count.cast("double"), toxic.cast("double")
+    off = F.greatest(F.abs(toxic * n - count * ones) - n / 2, F.lit(0.0))
+    spread = F.greatest(count * (F.lit(float(n)) - count) * float(ones * (n - ones)), F.lit(1.0))
+    return F.lit(float(n)) * off * off / spread
+
+
 def _hashed_terms(docs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -157,12 +165,19 @@ def _hashed_terms(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, ", ".join([*rest, "terms array<bigint>"]))
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, per_class: int = SAMPLE_PER_CLASS) -> Machine:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    scratch: Scratch,
+    per_class: int = SAMPLE_PER_CLASS,
+    settings: Settings = Settings(),
+) -> Machine:
     """Fit to at most ``per_class`` labelled documents of either class that aren't held out.
 
     The sample depends on ids only.  An id labelled twice counts as toxic if any
     label says so; null ids and null labels are left out; of documents that
-    share an id one is taken.
+    share an id and label one is taken.  Terms are counted and screened before
+    anything comes to the driver, which gets the telling terms of the sample only.
     """
     marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -173,10 +188,24 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, per_class: int =
     sample = scratch.write(parts[0].union(parts[1]), "sample")
     # proven size: two classes of per_class rows with an id and a label
     own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = scratch.write(_hashed_terms(own), "terms").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    own = own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = scratch.write(_hashed_terms(own), "terms")
+    size = found.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("ones")).first()
+    counted = found.select(F.explode("terms").alias("term"), "toxic").groupBy("term")
+    counted = counted.agg(F.count(F.lit(1)).alias("count"), F.sum("toxic").alias("toxic"))
+    telling = _evidence(F.col("toxic"), F.col("count"), size["n"], size["ones"] or 0) >= settings.evidence
+    keys = np.sort(counted.filter(telling).select("term").toArrow().column("term").to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def screen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            kept = [t[np.isin(t, shared.value)] for t in frame["terms"].map(np.asarray)]
+            yield frame.assign(terms=kept)[["doc_id", "toxic", "terms"]]
+
+    screened = found.mapInPandas(screen, "doc_id bigint, toxic int, terms array<bigint>").orderBy("doc_id").toArrow()
     scratch.drop("terms")
-    documents = [np.array(row, np.int64) for row in found.column("terms").to_pylist()]
-    return fit(documents, found.column("toxic").to_numpy().astype(float))
+    documents = [np.array(row, np.int64) for row in screened.column("terms").to_pylist()]
+    return fit(documents, screened.column("toxic").to_numpy().astype(float), settings)
 
 
 def scored(docs: DataFrame, machine: Machine, text: str = "text", to: str = "score") -> DataFrame:
