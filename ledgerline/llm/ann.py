@@ -225,38 +225,66 @@ def exact_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (queries * rows).sum(axis=-1)
 
 
-def _best(met: DataFrame, keep: int) -> DataFrame:
-    """Of each row (a block of a list, a block of queries): the best ``keep`` classes of each query."""
+def _ranked(found: list[tuple[np.ndarray, ...]], keep: int) -> tuple[np.ndarray, ...]:
+    """The ``keep`` best of each query among (query, row, score) columns; a row found twice counts once."""
+    query, row, score = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    new = np.ones(len(query), bool)  # equal rows of a query have equal scores and so lie together
+    new[1:] = (query[1:] != query[:-1]) | (row[1:] != row[:-1])
+    query, row, score = query[new], row[new], score[new]
+    starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, int)
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+    best = place < keep
+    return query[best], row[best], score[best]
+
+
+def _best(met: DataFrame, keep: int, most: int = 1 << 20) -> DataFrame:
+    """Of the rows (a block of a list, a block of queries) of a task: the best ``keep`` classes of each query.
+
+    What blocks find is merged as the task goes on, so a task gives ``keep`` rows
+    for a query however many lists it read; never more than about ``most`` wait
+    in memory, beyond which the merged ones are given out.
+    """
 
     def matrix(column: pa.ListArray, dims: int) -> np.ndarray:
         return column.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
+    def block(one: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        own = one.column("rows").flatten().to_numpy(zero_copy_only=False)
+        asked = one.column("queries").flatten().to_numpy(zero_copy_only=False)
+        vectors, wanted = one.column("row_vecs"), one.column("query_vecs")
+        dims = len(wanted.flatten().flatten()) // len(asked)
+        p, q = matrix(vectors, dims), matrix(wanted, dims)
+        order = np.argsort(own)
+        own, p = own[order], p[order]
+        about = q @ p.T
+        some = min(len(own), keep + 8)
+        picked = np.argpartition(-about, some - 1, axis=1)[:, :some]
+        score = exact_scores(q[:, None, :], p[picked])
+        # the best first, ties to the smaller class
+        best = np.lexsort((own[picked], -score), axis=1)[:, :keep]
+        across = np.arange(len(asked))[:, None]
+        return np.repeat(asked, best.shape[1]), own[picked][across, best].ravel(), score[across, best].ravel()
+
+    def given(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        columns = [pa.array(c) for c in _ranked(found, keep)]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_class", "class_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, waiting = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                own = one.column("rows").flatten().to_numpy(zero_copy_only=False)
-                asked = one.column("queries").flatten().to_numpy(zero_copy_only=False)
-                vectors, wanted = one.column("row_vecs"), one.column("query_vecs")
-                dims = len(wanted.flatten().flatten()) // len(asked)
-                p, q = matrix(vectors, dims), matrix(wanted, dims)
-                order = np.argsort(own)
-                own, p = own[order], p[order]
-                about = q @ p.T
-                some = min(len(own), keep + 8)
-                picked = np.argpartition(-about, some - 1, axis=1)[:, :some]
-                score = exact_scores(q[:, None, :], p[picked])
-                # the best first, ties to the smaller class
-                best = np.lexsort((own[picked], -score), axis=1)[:, :keep]
-                across = np.arange(len(asked))[:, None]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(asked, best.shape[1])),
-                        pa.array(own[picked][across, best].ravel()),
-                        pa.array(score[across, best].ravel()),
-                    ],
-                    names=["query_class", "class_id", "score"],
-                )
+                found.append(block(batch.slice(i, 1)))
+                waiting += len(found[-1][0])
+                if waiting > 2 * most:
+                    found = [_ranked(found, keep)]
+                    waiting = len(found[0][0])
+                    if waiting > most:
+                        yield from given(found)
+                        found, waiting = [], 0
+        if found:
+            yield from given(found)
 
     return met.mapInArrow(run, "query_class bigint, class_id bigint, score double")
 
