@@ -18,7 +18,9 @@ from ledgerline.llm.work import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Stride of the walk: a prime above any number of blocks of one source.
+GAP = r"[\x20\x09-\x0D]"
+
+#: Stride of the scattered walk: a prime above any number of blocks of one source.
 STRIDE = 2_147_483_647
 
 #: Documents numbered together in one window.
@@ -29,7 +31,9 @@ TOGETHER = 50_000
 class Recipe:
     """weights repeat over the sources in code-point order, null last; ``share`` is the mix's size
     in sizes of the corpus; a source is taken at most ``most`` times; the mix is cut into at most
-    ``blocks`` equal blocks, dealt to ``shards``."""
+    ``blocks`` equal blocks, dealt to ``shards``; a source's last pass takes every ``stride``-th block
+    in a ring.  With 1 it takes one run of the stream, so all documents but the two at its ends are
+    taken whole or not at all, whatever the length of a block."""
 
     weights: Sequence[int] = (3, 1, 2)
     share: float = 1.5
@@ -37,6 +41,7 @@ class Recipe:
     blocks: int = 1 << 22
     shards: int = 8
     seed: int = 17
+    stride: int = STRIDE
 
 
 def words(text: str = "text") -> Column:
@@ -118,11 +123,12 @@ def plan(docs: DataFrame, recipe: Recipe, scratch: Scratch) -> DataFrame:
 
     start: the document's first word in its source's stream; block: words in a
     block; n: blocks of the source; quota: blocks taken; whole: complete passes;
-    rest: blocks of the last pass; shift: where its walk begins.  Texts are read
-    once.  The order of documents in a stream is a seeded draw on id and size,
-    so rows that differ in neither are interchangeable and reruns agree.
+    rest: blocks of the last pass; shift: where its walk begins; stride: its
+    step; print: hash of the text.  Texts are read once.  The order of documents
+    in a stream is a seeded draw on id and size, then the hash, so equal rows are
+    interchangeable and reruns agree.
     """
-    own = docs.select("doc_id", "source", words().alias("size"))
+    own = docs.select("doc_id", "source", words().alias("size"), F.xxhash64("text").alias("print"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     own = own.withColumn("draw", _draw(F.lit(recipe.seed), key, F.col("size")))
     sizes = scratch.write(own, "sizes")
@@ -144,6 +150,7 @@ def plan(docs: DataFrame, recipe: Recipe, scratch: Scratch) -> DataFrame:
         F.floor(F.col("quota") / F.col("n")).alias("whole"),
         (F.col("quota") % F.col("n")).alias("rest"),
         shift.alias("shift"),
+        F.lit(recipe.stride).cast("long").alias("stride"),
         ranges.alias("ranges"),
     )
     rows = sizes.join(per, sizes["source"].eqNullSafe(per["s_source"])).drop("s_source")
@@ -151,7 +158,7 @@ def plan(docs: DataFrame, recipe: Recipe, scratch: Scratch) -> DataFrame:
     totals = rows.groupBy("sid", "range").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("sid", "range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("sid", "range").orderBy("draw", "doc_id", "size")
+    inside = Window.partitionBy("sid", "range").orderBy("draw", "doc_id", "size", "print")
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(totals, ["sid", "range"])
@@ -160,12 +167,17 @@ def plan(docs: DataFrame, recipe: Recipe, scratch: Scratch) -> DataFrame:
 
 def _place(b: Column) -> Column:
     """Turn of block ``b`` in the seeded walk over its source's blocks."""
-    return F.pmod(b * F.lit(STRIDE) + F.col("shift"), F.col("n"))
+    return F.pmod(b * F.col("stride") + F.col("shift"), F.col("n"))
 
 
-def _blocks() -> Column:
+def _ends() -> tuple[Column, Column]:
+    """The blocks of a document's first and last word."""
     first = F.floor(F.col("start") / F.col("block")).cast("long")
-    last = F.floor((F.col("start") + F.col("size") - 1) / F.col("block")).cast("long")
+    return first, F.floor((F.col("start") + F.col("size") - 1) / F.col("block")).cast("long")
+
+
+def _blocks() -> Column:
+    first, last = _ends()
     return F.when((F.col("size") > 0) & (F.col("rest") > 0), F.sequence(first, last)).otherwise(
         F.array().cast("array<bigint>")
     )
@@ -190,9 +202,11 @@ def taken() -> Column:
 
 
 def spans() -> Column:
-    """Word spans (begin, end; end excluded) of the last, partial pass, in order."""
-    chosen = F.filter(_blocks(), lambda b: _place(b) < F.col("rest"))
-    return F.transform(chosen, lambda b: F.struct(_from(b).alias("begin"), _upto(b).alias("end")))
+    """Word spans (begin, end; end excluded) of the last, partial pass, in order; adjoining blocks are one span."""
+    first, last = _ends()
+    begins = F.filter(_blocks(), lambda b: (_place(b) < F.col("rest")) & ((b == first) | (_place(b - 1) >= F.col("rest"))))
+    ends = F.filter(_blocks(), lambda b: (_place(b) < F.col("rest")) & ((b == last) | (_place(b + 1) >= F.col("rest"))))
+    return F.zip_with(begins, ends, lambda b, e: F.struct(_from(b).alias("begin"), _upto(e).alias("end")))
 
 
 def mix(docs: DataFrame, scratch: Scratch, recipe: Recipe = Recipe()) -> DataFrame:
@@ -207,26 +221,31 @@ def mix(docs: DataFrame, scratch: Scratch, recipe: Recipe = Recipe()) -> DataFra
 
 def mixed_texts(docs: DataFrame, scratch: Scratch, recipe: Recipe = Recipe()) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row per complete pass over a document,
-    unchanged, and one with the chosen words of the last pass, joined by spaces.
+    unchanged, and one per span of the last pass, with the white space it has in the document.
 
-    Documents that the mix doesn't take at all go, as do those without words.  Rows of one id and size share
-    one plan, so repeated ids stay apart only if their sizes differ; equal rows
-    are all planned alike.
+    Documents that the mix doesn't take at all go, as do those without words.
+    Rows of one id and text share one plan.
     """
-    rows = plan(docs, recipe, scratch).select("doc_id", "source", "size", "whole", spans().alias("spans"))
-    once = rows.groupBy("doc_id", "source", "size").agg(F.first("whole").alias("_whole"), F.first("spans").alias("_spans"))
-    once = once.toDF("_id", "_source", "_size", "_whole", "_spans")
-    own = docs.withColumn("_words", words()).filter("_words > 0")
+    rows = plan(docs, recipe, scratch).select("doc_id", "source", "print", F.struct("start", "whole", spans().alias("spans")).alias("plan"))
+    once = rows.groupBy("doc_id", "source", "print").agg(F.min("plan").alias("plan"))
+    once = once.select("doc_id", "source", "print", "plan.whole", "plan.spans").toDF("_id", "_source", "_print", "_whole", "_spans")
+    own = docs.withColumns({"_words": words(), "_own": F.xxhash64("text")}).filter("_words > 0")
     same = [own["doc_id"].eqNullSafe(once["_id"]), own["source"].eqNullSafe(once["_source"])]
-    both = own.join(once, [*same, own["_words"] == once["_size"]])
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    both = both.withColumn("_pieces", F.when(F.size("_spans") > 0, pieces))
-    part = F.transform(
-        "_spans", lambda s: F.array_join(F.slice("_pieces", s["begin"] + 1, s["end"] - s["begin"]), " ")
-    )
+    both = own.join(once, [*same, own["_own"] == once["_print"]])
+
+    def uncut(s: Column) -> Column:
+        return (s["begin"] == 0) & (s["end"] == F.col("_words"))
+
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{GAP}*{WORD}"), F.lit(0))
+    both = both.withColumn("_pieces", F.when(F.exists("_spans", lambda s: ~uncut(s)), pieces))
+
+    def part(s: Column) -> Column:
+        cut = F.array_join(F.slice("_pieces", s["begin"] + 1, s["end"] - s["begin"]), "")
+        cut = F.when(s["begin"] > 0, F.regexp_replace(cut, f"^{GAP}+", "")).otherwise(cut)
+        return F.when(uncut(s), F.col("text")).otherwise(cut)
+
     copies = F.array_repeat(F.col("text"), F.col("_whole").cast("int"))
-    rest = F.when(F.size("_spans") > 0, F.array(F.array_join(part, " "))).otherwise(F.array().cast("array<string>"))
-    texts = both.withColumn("_text", F.explode(F.concat(copies, rest)))
+    texts = both.withColumn("_text", F.explode(F.concat(copies, F.transform("_spans", part))))
     n_chars = F.char_length("_text").cast("long")
     new = {"text": F.col("_text"), "n_chars": n_chars}
     return texts.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

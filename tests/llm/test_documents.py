@@ -120,6 +120,29 @@ def test_mixed_texts_hold_the_words_taken(spark):
     assert {i: n for i, n in plan.items() if n} == {i: n for i, n in words.items() if n}
 
 
+@pytest.mark.parametrize("blocks", [1 << 22, 300])
+def test_pipeline_mix_leaves_documents_whole(spark, blocks):
+    """At block lengths of 1 and of many words alike."""
+    rows = [(i, f"  Head {i}\n\n" + "\n".join(f"w{i}_{j}\tx" for j in range(5 + i % 40)) + "\n", "abcd"[min(3, i % 7)]) for i in range(300)]
+    rows += [(1, f"same size {k}", "a") for k in range(50)]
+    df, recipe = frame(spark, rows), mixing.Recipe(stride=1, blocks=blocks)
+    plan = mixing.mix(df, Scratch(spark, "t"), recipe).collect()
+    whole, cut, words = {(i, s, t) for i, t, s in rows}, defaultdict(set), Counter()
+    for r in mixing.mixed_texts(df, Scratch(spark, "t"), recipe).collect():
+        words[r.source] += word_count(r.text)
+        if (r.doc_id, r.source, r.text) not in whole:
+            assert any(r.text in t for i, s, t in whole if (i, s) == (r.doc_id, r.source))
+            cut[r.source].add(r.doc_id)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += word_count(t)
+    taken = Counter()
+    for r in plan:
+        taken[next(s for s in sizes if sizes[s] == r.source_size)] += r.taken
+    assert len(set(sizes.values())) == len(sizes) and words == taken
+    assert all(len(c) <= 2 for c in cut.values())
+
+
 # --- encoding
 
 
