@@ -10,13 +10,14 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import connected
 from ledgerline.llm.work import Scratch
 
-#: Characters in a shingle.  A line of fewer has nothing to compare and is left alone.
+#: Characters in a shingle.  A line of fewer has none and is like its exact copies only.
 SHINGLE = 9
 
 #: Lines are alike if the sets of their shingles have at least this Jaccard similarity.
@@ -117,24 +118,28 @@ def similarity(a: set, b: set) -> float:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every line that can be compared: doc_id, print (hash of the text), line (from 0), key, spelled.
+    """Every line that isn't blank: doc_id, print (hash of the text), line (from 0), key, spelled.
 
     spelled is the line without white space at its ends; key its hash.  Lines
-    that differ in case only have different keys but the same shingles.
+    that differ in case only have different keys but the same shingles, if any.
     """
     trimmed = F.btrim(F.col("raw"), F.lit(" \t\r\x0b\x0c"))
     own = docs.select("doc_id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     own = own.select("doc_id", "print", "line", trimmed.alias("spelled"))
-    return own.filter(F.char_length("spelled") >= SHINGLE).withColumn("key", F.xxhash64("spelled"))
+    return own.filter(F.length("spelled") > 0).withColumn("key", F.xxhash64("spelled"))
 
 
 def _signed(found: DataFrame) -> DataFrame:
-    """The occurrences without their spelling, with band keys at the first of a key in a batch."""
+    """The occurrences without their spelling, with band keys at the first of a key in a batch.
+
+    Lines without a shingle get none: their key is all they have in common.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy()
             first = np.sort(np.unique(keys, return_index=True)[1])
+            first = first[pc.utf8_length(batch.column("spelled")).to_numpy()[first] >= SHINGLE]
             bands = band_keys(batch.column("spelled").take(pa.array(first)).to_pylist())
             at = np.full(len(keys), -1)
             at[first] = np.arange(len(first))
@@ -290,8 +295,9 @@ def cleaned(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Every row of ``docs`` with its text less repeated lines, and lines_before, lines_after.
 
     Rows with equal id and text are one document and keep the same lines; null
-    texts stay null with no lines, empty ones have one; blank lines and lines of
-    fewer than SHINGLE characters always stay; columns so named are replaced.
+    texts stay null with no lines, empty ones have one; blank lines always stay;
+    lines of fewer than SHINGLE characters go if an exact copy, by case too,
+    comes earlier; columns so named are replaced.
     """
     gone = repeated(docs, scratch).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "gone")
     gone = gone.withColumnRenamed("gone", "_gone")

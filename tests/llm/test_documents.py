@@ -426,6 +426,20 @@ def test_buckets_are_compared_in_chunks(spark, monkeypatch):
     assert {r.doc_id: r.text for r in got.collect()} == slow_line_dedup(rows)
 
 
+def test_exact_copies_of_short_lines_go(spark):
+    long = "a line that is long enough to count"
+    rows = [(1, "Of.\n\n" + long), (2, "own words of the second\n Of. \nof."), (3, "Of.\n" + long), (4, "你好。\n你好。\n\n"), (5, "你好。")]
+    df = frame(spark, [(i, t, "a") for i, t in rows])
+    got = {r.doc_id: (r.text, r.lines_before, r.lines_after) for r in lines.cleaned(df, Scratch(spark, "t")).collect()}
+    assert got == {
+        1: ("Of.\n\n" + long, 3, 3), 2: ("own words of the second\nof.", 3, 2), 3: ("", 2, 0),
+        4: ("你好。\n\n", 4, 3), 5: ("", 1, 0),
+    }
+    assert {r.doc_id for r in lines.deduplicated(df, Scratch(spark, "t")).collect()} == {1, 2, 4}
+    short = frame(spark, [(1, "a\na", "a")])
+    assert [r.text for r in lines.cleaned(short, Scratch(spark, "t")).collect()] == ["a"]
+
+
 def test_line_dedup_odd_rows(spark):
     long = "a line that is long enough to count"
     rows = [*ODD, (30, long, "a"), (31, long + "\nand this one is its own", "a"), (32, long, "a"), (32, long, "a"), (None, long, "b")]
