@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, bpe, lattice, lines, mixing, pages, sharding, simhash, toxicity, urls
+from ledgerline.llm import ann, bpe, interactions, lattice, lines, mixing, pages, sharding, simhash, toxicity, urls
 from ledgerline.llm.work import Scratch, importable
 
 
@@ -60,6 +60,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "lines_before", "lines_after")
 
 
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return interactions.document_filters(docs, labels, Scratch(spark, "interactions"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_lattice": op2_lattice,
@@ -71,8 +76,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
+    "op13_interactions": op13_interactions,
 }
 
+
 def _draw(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
@@ -128,4 +135,51 @@ ORACLES: dict[str, str] = {
                 THEN least(size, (b + 1) * block - start) - greatest(0, b * block - start) ELSE 0 END))
         ELSE 0 END AS BIGINT) AS taken
     FROM placed""",
+    "op13_interactions": """
+    WITH texts AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+    ), firsts AS (
+        SELECT text, min(doc_id) AS first FROM texts GROUP BY text
+    ), counted AS (
+        SELECT doc_id, part, text, first, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+            length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals
+        FROM texts JOIN firsts USING (text)
+    ), known AS (
+        SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic
+        FROM labels GROUP BY doc_id
+    ), failing AS (
+        SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+            CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+            || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * capitals > 3 * length(text) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+            || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+        FROM counted LEFT JOIN known USING (doc_id)
+    ), letters AS (
+        SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+    ), orders AS (
+        SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+        FROM letters a, letters b, letters c, letters d, letters e
+        WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+    ), steps AS (
+        SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS filter, filter_order[:step - 1] AS before
+        FROM orders, (SELECT unnest(range(1, 6)) AS step)
+    ), grouped AS (
+        SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+        FROM failing GROUP BY part, fails
+    ), played AS (
+        SELECT part, filter_order, step, filter, n, good, toxic, fails,
+            contains(fails, filter) AS hit, length(translate(fails, before, '')) < length(fails) AS gone
+        FROM grouped, steps
+    ), summed AS (
+        SELECT part, filter_order, step, filter,
+            CAST(coalesce(sum(n) FILTER (WHERE NOT hit AND NOT gone), 0) AS BIGINT) AS kept,
+            CAST(coalesce(sum(n) FILTER (WHERE hit AND NOT gone), 0) AS BIGINT) AS removed,
+            CAST(coalesce(sum(n) FILTER (WHERE hit AND gone), 0) AS BIGINT) AS redundant,
+            CAST(coalesce(sum(n) FILTER (WHERE fails = filter), 0) AS BIGINT) AS unique_fails,
+            CAST(coalesce(sum(good) FILTER (WHERE hit AND NOT gone), 0) AS BIGINT) AS good_lost,
+            CAST(coalesce(sum(toxic) FILTER (WHERE hit AND NOT gone), 0) AS BIGINT) AS toxic_lost
+        FROM played GROUP BY ALL
+    )
+    SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM summed""",
 }

@@ -47,7 +47,7 @@ def test_stages_in_turn(spark):
         special_tokens={},
     )
     want = Counter((i, tuple(plain.encode_ordinary(t))) for i, t in zip(mixed.doc_id, mixed.text))
-    assert Counter((i, tuple(ids.tolist())) for i, ids in zip(encoded.doc_id, encoded.ids)) == want
+    assert Counter((i, tuple(map(int, ids))) for i, ids in zip(encoded.doc_id, encoded.ids)) == want
 
 
 def test_entry_without_the_training_data_part(tmp_path):
