@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, bpe, interactions, lattice, lines, mixing, pages, sharding, simhash, toxicity, urls
+from ledgerline.llm import ann, bpe, interactions, lattice, licences, lines, mixing, pages, sharding, simhash, toxicity, urls
 from ledgerline.llm.work import Scratch, importable
 
 
@@ -60,6 +60,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "lines_before", "lines_after")
 
 
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.document_licences(table(spark, sf_dir, "documents"))
+
+
 def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return interactions.document_filters(docs, labels, Scratch(spark, "interactions"))
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
+    "op12_licences": op12_licences,
     "op13_interactions": op13_interactions,
 }
 
