@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, bpe, interactions, lattice, licences, lines, mixing, pages, sharding, simhash, toxicity, urls
+from ledgerline.llm import ann, bpe, interactions, lattice, licences, lines, mixing, pages, sharding, simhash, toxicity, turns, urls
 from ledgerline.llm.work import Scratch, importable
 
 
@@ -60,6 +60,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "lines_before", "lines_after")
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.conversation_audits(table(spark, sf_dir, "conversations"), Scratch(spark, "turns"))
+
+
 def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.document_licences(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
+    "op11_turns": op11_turns,
     "op12_licences": op12_licences,
     "op13_interactions": op13_interactions,
 }
@@ -89,9 +94,14 @@ def _draw(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
+def _step(after: str, cost: int | str, edit: str) -> str:
+    """The cost, as eight digits, and the edits of a walk, with one more edit ahead."""
+    return f"(lpad(CAST(CAST(({after})[:8] AS BIGINT) + {cost} AS VARCHAR), 8, '0') || '{edit}' || ({after})[9:])"
+
+
 _R = mixing.Recipe()
 
-#: Expected results in SQL.  Only the mix can be stated there; the others are held against plain versions in the tests.
+#: Expected results in SQL where it can state them; the others are held against plain versions in the tests.
 ORACLES: dict[str, str] = {
     "op3_mixing": f"""
     WITH counted AS (
@@ -140,6 +150,82 @@ ORACLES: dict[str, str] = {
                 THEN least(size, (b + 1) * block - start) - greatest(0, b * block - start) ELSE 0 END))
         ELSE 0 END AS BIGINT) AS taken
     FROM placed""",
+    "op11_turns": f"""
+    WITH RECURSIVE crc AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+            lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc
+    ), drawn AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ')
+                || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                lambda c, b: xor(c // 256, crc[xor(c, b) % 256 + 1])), 4294967295) % 20 AS draw
+        FROM conversations, crc
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+            CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM drawn, LATERAL (SELECT unnest(range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy)
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+    ), faulty AS (
+        SELECT conv_id, turn, role, text, i, coalesce(role[1], '') AS initial, CASE
+            WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+            WHEN regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?')
+            THEN 'truncated' ELSE '' END AS fault,
+            lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before
+        FROM placed
+    ), counted AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+            count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+            count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+            count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM faulty GROUP BY conv_id
+    ), walk AS (  -- from the last row back: cost (8 digits) and edits by what stands before: nothing, system, user, assistant
+        SELECT conv_id, n AS i, '00000000' AS nothing, '00000010II' AS system, '00000005I' AS usr, '00000000' AS asst
+        FROM counted
+        UNION ALL
+        SELECT conv_id, i, least(nothing, by_user) AS nothing, least(system, by_user) AS system,
+            least(usr, by_assistant) AS usr, least(asst, by_user) AS asst
+        FROM (SELECT *, {_step("least(usr, " + _step("asst", 5, "I") + ")", 5, "I")} AS by_user,
+            {_step("least(asst, " + _step("usr", 5, "I") + ")", 5, "I")} AS by_assistant
+        FROM (SELECT w.conv_id, w.i - 1 AS i,
+                least({_step("w.nothing", 2, "D")}, CASE WHEN NOT forced AND initial = 's' THEN {_step("w.system", "extra", "K")}
+                    ELSE '~' END, to_user) AS nothing,
+                least({_step("w.system", 2, "D")}, to_user) AS system,
+                least({_step("w.usr", 2, "D")}, CASE WHEN forced THEN '~' WHEN initial = 'a' THEN
+                    {_step("w.asst", "extra", "K")} ELSE {_step("w.asst", "extra + 1", "R")} END) AS usr,
+                least({_step("w.asst", 2, "D")}, to_user) AS asst
+            FROM (SELECT w.*, f.initial, f.fault IN ('blank', 'duplicate') AS forced,
+                    CASE f.fault WHEN 'truncated' THEN 5 ELSE 0 END AS extra,
+                    CASE WHEN f.fault IN ('blank', 'duplicate') THEN '~' WHEN f.initial = 'u' THEN
+                    {_step("w.usr", "extra", "K")} ELSE {_step("w.usr", "extra + 1", "R")} END AS to_user
+                FROM walk w JOIN faulty f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND w.i = f.i) w))
+    ), cheapest AS (
+        SELECT conv_id, CAST(nothing[:8] AS BIGINT) AS cost, nothing[9:] AS audit FROM walk WHERE i = 0
+    ), edits AS (
+        SELECT conv_id, edit, k,
+            count(*) FILTER (WHERE edit <> 'I') OVER upto AS i, count(*) FILTER (WHERE edit <> 'D') OVER upto AS p
+        FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(1, length(audit) + 1)) AS k
+            FROM cheapest WHERE audit <> '')
+        WINDOW upto AS (PARTITION BY conv_id ORDER BY k)
+    ), kept AS (
+        SELECT e.conv_id, e.p, e.edit, f.role, f.text,
+            max(CASE WHEN e.p = 1 AND e.edit = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS s
+        FROM edits e LEFT JOIN faulty f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.i = f.i
+        WHERE e.edit <> 'D'
+    ), whole AS (
+        SELECT conv_id, sha256(string_agg(CASE edit WHEN 'K' THEN role
+            ELSE CASE WHEN (p - s) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+            || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS digest
+        FROM kept GROUP BY conv_id
+    )
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+        coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+        coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN cheapest h ON o.conv_id IS NOT DISTINCT FROM h.conv_id
+    LEFT JOIN whole w ON o.conv_id IS NOT DISTINCT FROM w.conv_id""",
     "op13_interactions": """
     WITH texts AS (
         SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
