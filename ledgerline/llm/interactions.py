@@ -26,6 +26,9 @@ SPACE = r"[ \t\n\x0B\f\r]+"
 #: Failure conditions: fewer words; share of distinct words and of capitals, in percent; characters of markup.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, MARKS = 200, 50, 3, "[#$%&*|]"
 
+#: A text is looked up in a broadcast if one of so many rows has it; there can't be more such texts than this.
+HOT = 1000
+
 #: What is counted of a filter at its step.
 COUNTS = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"]
 
@@ -43,8 +46,9 @@ def masks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     anywhere in the table.  Null texts are empty ones; documents without an id
     have no smaller id and are nobody's; rows with equal id and text don't fail
     one another.  Texts are read once; a text is compared by its SHA-256, whose
-    smallest id is an aggregate combined before the shuffle, so a text under a
-    third of all ids costs each task one row.
+    smallest id is an aggregate combined before the shuffle.  Texts that hold a
+    share of 1 / HOT of all rows, HOT at most, are looked up in a broadcast, so
+    that no task gets all rows of one; the others are joined.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("part"), text.alias("text"))
@@ -60,11 +64,17 @@ def masks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ]
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     read = scratch.write(own.select("doc_id", "part", _bits(alone).alias("alone"), digest), "read")
-    ids = read.filter("doc_id IS NOT NULL").groupBy("digest")
-    copied = ids.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    copied = read.groupBy("digest").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")
+    )
+    copied = scratch.write(copied.filter("first < last").drop("last"), "copied")
+    share = F.col("n") * HOT >= F.lit(read.count())
+    hot, others = (copied.filter(c).select("digest", "first") for c in (share, ~share))
+    spread = read.join(F.broadcast(hot), "digest")
+    rest = read.join(F.broadcast(hot), "digest", "left_anti").join(others, "digest", "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     mask = F.col("alone") + F.when(copy, 1 << len(alone)).otherwise(0)
-    return read.join(copied.drop("last"), "digest", "left").select("doc_id", "part", mask.cast("int").alias("mask"))
+    return spread.unionByName(rest).select("doc_id", "part", mask.cast("int").alias("mask"))
 
 
 def cells(masked: DataFrame, labels: DataFrame) -> DataFrame:
