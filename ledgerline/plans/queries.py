@@ -26,7 +26,7 @@ from ledgerline.operators import (
 )
 from ledgerline.plans import batch, oracle
 from ledgerline.plans.store import DataSet
-from ledgerline.sources import readers, sinks
+from ledgerline.sources import readers, sinks, snapshots
 from ledgerline.sources.catalog import CUSTOMER_KPI_DDL, ORDER_COLUMNS_DDL, SOURCES
 
 Query = Callable[[DataSet], DataFrame]
@@ -868,6 +868,36 @@ def upsert_latest(d: DataSet) -> DataFrame:
     return d.spark.read.parquet(second)
 
 
+_PUBLISHED = """
+    WITH e AS (SELECT * REPLACE (CASE WHEN event_id % 50 <> 0 THEN user_id END AS user_id),
+        ts >= (SELECT max(ts) - INTERVAL 1 DAY FROM events) AS late FROM events)
+    SELECT * EXCLUDE (late) FROM e WHERE user_id IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY late DESC, ts DESC, event_id DESC) = 1
+    UNION ALL SELECT * EXCLUDE (late) FROM e WHERE user_id IS NULL"""
+
+
+@query(_PUBLISHED, chain=False)
+def publish_touched(d: DataSet) -> DataFrame:
+    """All but the last day's events published as a snapshot, then the last day's into the buckets of their users."""
+    user = F.when(F.col("event_id") % 50 != 0, F.col("user_id"))
+    events = table(d, "events").withColumn("user_id", user)
+    late = F.col("ts") >= F.lit(events.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 1 DAY")
+    snapshot = snapshots.Snapshot.create(d.spark, d.fresh("published"), "user_id", events.schema, buckets=64)
+    for batch_ in (events.filter(~late), events.filter(late)):
+        snapshot.publish(batch_, ["ts", "event_id"])
+    return snapshots.Snapshot.open(d.spark, snapshot.path).rows()
+
+
+@query(f"SELECT * FROM ({_PUBLISHED}) WHERE user_id = 7", chain=False)
+def snapshot_lookup(d: DataSet) -> DataFrame:
+    """The document of one key out of a published snapshot, from its bucket alone."""
+    user = F.when(F.col("event_id") % 50 != 0, F.col("user_id"))
+    events = table(d, "events").withColumn("user_id", user)
+    snapshot = snapshots.Snapshot.create(d.spark, d.fresh("published"), "user_id", events.schema, buckets=64)
+    snapshot.publish(events, ["ts", "event_id"])
+    return snapshot.of_key(7)
+
+
 _ORDER_SIDE = "o.lifecycle_stage AS order_stage, o.max_issue_severity AS order_severity"
 _CONTEXT_SQL = f"""
     SELECT {_ORDER_SIDE}, i.* FROM order_table o
