@@ -211,20 +211,21 @@ def filtered_kpis(orders: DataFrame, customer: str | None = None, stage: str | N
 def filtered_document(orders: DataFrame, customer: str | None = None, stage: str | None = None) -> DataFrame:
     """``filtered_kpis`` as a nested document that names its filters."""
     chosen = serving.select_orders(orders, customer=customer, stage=stage)
+    return nested(filtered_kpis(orders, customer, stage), stage_map(chosen), customer, stage)
+
+
+def nested(figures: DataFrame, stages: DataFrame, customer: str | None, stage: str | None) -> DataFrame:
+    """Filtered figures and their stage map as a document that names its filters."""
     filters = F.struct(
         F.lit(customer).cast("string").alias("customer"), F.lit(stage).cast("string").alias("stage")
     )
-    return (
-        filtered_kpis(orders, customer, stage)
-        .withColumn("lifecycle_stages", stage_map(chosen).scalar())
-        .select(
-            _stamp().alias("generated_at"),
-            filters.alias("filters"),
-            F.struct(*FILTERED_OVERVIEW).alias("overview"),
-            "lifecycle_stages",
-            F.struct(*CYCLE_STATS).alias("cycle_times"),
-            F.struct(*FILTERED_ISSUES).alias("issues"),
-        )
+    return figures.withColumn("lifecycle_stages", stages.scalar()).select(
+        _stamp().alias("generated_at"),
+        filters.alias("filters"),
+        F.struct(*FILTERED_OVERVIEW).alias("overview"),
+        "lifecycle_stages",
+        F.struct(*CYCLE_STATS).alias("cycle_times"),
+        F.struct(*FILTERED_ISSUES).alias("issues"),
     )
 
 

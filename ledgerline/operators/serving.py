@@ -60,10 +60,11 @@ def sort_orders(orders: DataFrame, sort_by: str = DEFAULT_SORT, sort_dir: str =
 
     An unknown column leaves the table order, which is by order id.
     """
-    return orders.orderBy(*_sort_keys(orders, sort_by, sort_dir))
+    return orders.orderBy(*sort_keys(orders, sort_by, sort_dir))
 
 
-def _sort_keys(orders: DataFrame, sort_by: str, sort_dir: str) -> list[Column]:
+def sort_keys(orders: DataFrame, sort_by: str, sort_dir: str) -> list[Column]:
+    """NULLs last either way, ties by order id; by id alone for an unknown column."""
     tiebreak = F.asc("sales_order_id")
     if sort_by not in orders.columns:
         return [tiebreak]
@@ -71,14 +72,18 @@ def _sort_keys(orders: DataFrame, sort_by: str, sort_dir: str) -> list[Column]:
     return [key, tiebreak]
 
 
+def check_page(limit: int, offset: int) -> None:
+    if not 1 <= limit <= MAX_PAGE or offset < 0:
+        raise ValueError(f"limit must lie in 1..{MAX_PAGE} and offset be at least 0, not {limit}, {offset}")
+
+
 def page(chosen: DataFrame, keys: list[Column], limit: int, offset: int) -> DataFrame:
     """One page of the sorted rows, each with the number of rows on all pages.
 
     The total is a scalar subquery, not a window over the whole table.  Limits
     from 1 to ``MAX_PAGE`` and offsets from 0 are allowed, others are an error.
     """
-    if not 1 <= limit <= MAX_PAGE or offset < 0:
-        raise ValueError(f"limit must lie in 1..{MAX_PAGE} and offset be at least 0, not {limit}, {offset}")
+    check_page(limit, offset)
     total = chosen.agg(F.count(F.lit(1))).scalar()
     return chosen.orderBy(*keys).offset(offset).limit(limit).withColumn("total", total)
 
@@ -96,7 +101,7 @@ def list_orders(
 ) -> DataFrame:
     """Filter, sort and page the order table."""
     chosen = select_orders(orders, customer, stage, min_severity, issue_type)
-    return page(chosen, _sort_keys(orders, sort_by, sort_dir), limit, offset)
+    return page(chosen, sort_keys(orders, sort_by, sort_dir), limit, offset)
 
 
 def order_by_id(orders: DataFrame, order_id: object) -> DataFrame:

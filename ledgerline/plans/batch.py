@@ -7,19 +7,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.operators import kpis, linking, milestones, rollup
+from ledgerline.operators import cube, directory, kpis, linking, milestones, rollup, serving
 from ledgerline.operators.cleaning import clean_all
 from ledgerline.sources import sinks
 
 
 @dataclass(frozen=True)
 class ServingTables:
-    """Item table, order table, customer KPIs and KPI document."""
+    """Item table, order table, customer KPIs, KPI document, and the cube of filtered KPIs."""
 
     items: DataFrame
     orders: DataFrame
     customers: DataFrame
     document: DataFrame
+    cube: cube.Cube
 
 
 def plan(raw: Mapping[str, DataFrame]) -> ServingTables:
@@ -35,13 +36,16 @@ def named_headers(cleaned: Mapping[str, DataFrame]) -> DataFrame:
 
 def over_items(items: DataFrame, headers: DataFrame | None = None) -> ServingTables:
     orders = rollup.order_view(items, headers)
-    return ServingTables(items, orders, kpis.customer_kpis(orders), kpis.kpi_document(items, orders))
+    return ServingTables(
+        items, orders, kpis.customer_kpis(orders), kpis.kpi_document(items, orders), cube.build(orders)
+    )
 
 
 def open_tables(spark: SparkSession, path: str) -> ServingTables:
     """Tables that ``build`` wrote."""
     return ServingTables(
-        *[spark.read.parquet(f"{path}/{name}") for name in ("items", "orders", "customers", "document")]
+        *[spark.read.parquet(f"{path}/{name}") for name in ("items", "orders", "customers", "document")],
+        cube.open_cube(spark, f"{path}/cube"),
     )
 
 
@@ -67,9 +71,24 @@ def build(raw: Mapping[str, DataFrame], path: str) -> ServingTables:
         "document": kpis.kpi_document(written_items, written_orders),
     }
     sinks.write_all(summaries, path)
+    cube.write(cube.build(written_orders), f"{path}/cube")
     return open_tables(spark, path)
 
 
+#: Directories of the order table for deep pages: by creation, newest first, and by severity.
+DIRECTORIES = {"orders": serving.DEFAULT_SORT, "issues": "max_issue_severity"}
+
+
+def build_directories(orders: DataFrame, path: str, ranges: int = 200) -> dict[str, directory.Directory]:
+    """Write a directory of the order table for each of its page orders: sorted copies, for services that page deep."""
+    for name, sort_by in DIRECTORIES.items():
+        directory.write(orders, f"{path}/{name}", sort_by, ranges=ranges)
+    return {
+        name: directory.open_directory(orders.sparkSession, f"{path}/{name}", sort_by)
+        for name, sort_by in DIRECTORIES.items()
+    }
+
+
 def export(tables: ServingTables, path: str) -> None:
     """The four result files of the batch job in their exchange formats."""
     sinks.write_csv(tables.items, f"{path}/items_csv")

@@ -8,6 +8,7 @@ Where an operator needs text the test tables lack, Spark derives it from them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ledgerline.functions import answers, bands, coerce, days, display
 from ledgerline.operators import (
     cleaning,
+    cube,
+    directory,
     docgraph,
     issues,
     kpis,
@@ -588,12 +591,36 @@ def _filtered_sql(where: str) -> str:
 
 @query(_filtered_sql("lifecycle_stage = 'paid'"))
 def kpi_filtered(d: DataSet) -> DataFrame:
+    return cube.filtered_kpis(d.serving().cube, stage="paid")
+
+
+@query(_filtered_sql("lifecycle_stage = 'paid'"))
+def kpi_filtered_scan(d: DataSet) -> DataFrame:
+    """The same figures over the order table."""
     return kpis.filtered_kpis(d.serving().orders, stage="paid")
 
 
 @query(_filtered_sql(f"customer_id = '{CUSTOMER}' AND lifecycle_stage = 'no such stage'"))
 def kpi_filtered_empty(d: DataSet) -> DataFrame:
-    return kpis.filtered_kpis(d.serving().orders, CUSTOMER, "no such stage")
+    return cube.filtered_kpis(d.serving().cube, CUSTOMER, "no such stage")
+
+
+_REQUESTS = {
+    "everything": ("TRUE", None, None),
+    "customer": (f"customer_id = '{CUSTOMER}'", CUSTOMER, None),
+    "customer and stage": (f"customer_id = '{CUSTOMER}' AND lifecycle_stage = 'paid'", CUSTOMER, "paid"),
+    "stage": ("lifecycle_stage = 'billed'", None, "billed"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS request, * FROM ({_filtered_sql(where)})" for name, (where, _, _) in _REQUESTS.items()))
+def kpi_cube_requests(d: DataSet) -> DataFrame:
+    """Requests of all kinds of filter, each from the cube's cells of its level."""
+    answers = [
+        cube.filtered_kpis(d.serving().cube, customer, stage).withColumn("request", F.lit(name))
+        for name, (_, customer, stage) in _REQUESTS.items()
+    ]
+    return reduce(DataFrame.unionByName, answers)
 
 
 @query(
@@ -609,7 +636,7 @@ def kpi_dispatch(d: DataSet) -> DataFrame:
     t = d.serving()
 
     def line(request: str, customer: str | None) -> DataFrame:
-        answer = kpis.kpi_summary(t.document, t.orders, customer)
+        answer = cube.summary(t.document, t.cube, customer)
         return answer.select(
             F.lit(request).alias("request"),
             "overview.total_orders",
@@ -801,6 +828,32 @@ def orders_page(d: DataSet) -> DataFrame:
     return serving.list_orders(_orders(d), stage="billed", limit=50, offset=100)
 
 
+def _page_sql(where: str, order: str, limit: int, offset: int) -> str:
+    return f"""
+    SELECT *, (SELECT count(*) FROM order_table WHERE {where}) AS total FROM order_table WHERE {where}
+    ORDER BY {order} DESC NULLS LAST, sales_order_id LIMIT {limit} OFFSET {offset}"""
+
+
+def _paged(found: DataFrame) -> DataFrame:
+    return rounded(found, "total_billed_amount", "total_paid_amount", "revenue_leakage_amount")
+
+
+@query(_page_sql("TRUE", "order_created_date", 100, 10_000))
+def orders_page_deep(d: DataSet) -> DataFrame:
+    """A page far down, out of the directory: only the ranges it falls into are read."""
+    return _paged(directory.list_orders(d.directories()["orders"], limit=100, offset=10_000))
+
+
+@query(_page_sql("lifecycle_stage = 'paid' AND max_issue_severity >= 1", "order_created_date", 50, 400))
+def orders_page_deep_filtered(d: DataSet) -> DataFrame:
+    return _paged(directory.list_orders(d.directories()["orders"], "paid", min_severity=1, limit=50, offset=400))
+
+
+@query(_page_sql("is_unpaid", "max_issue_severity", 200, 600))
+def issues_page_deep(d: DataSet) -> DataFrame:
+    return _paged(directory.list_issues(d.directories()["issues"], "unpaid", offset=600).drop("issue_labels"))
+
+
 @query("SELECT * FROM order_table ORDER BY total_o2c_days NULLS LAST, sales_order_id")
 def orders_sorted(d: DataSet) -> DataFrame:
     return serving.sort_orders(_orders(d), "total_o2c_days", "asc")

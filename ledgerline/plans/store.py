@@ -44,6 +44,13 @@ class DataSet:
             self.opened["serving"] = batch.build(self.exports(), f"{self.folder}/serving")
         return self.opened["serving"]
 
+    def directories(self) -> dict:
+        """The order table's directories; 16 ranges, as the test tables are small."""
+        if "directories" not in self.opened:
+            orders = self.serving().orders
+            self.opened["directories"] = batch.build_directories(orders, f"{self.folder}/directories", ranges=16)
+        return self.opened["directories"]
+
     def fresh(self, name: str) -> str:
         """A folder not used before, for results that are written and read back."""
         self.opened[name] = self.opened.get(name, 0) + 1

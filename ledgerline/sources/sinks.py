@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,17 @@ def write_serving(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_parts(df: DataFrame, path: str, by: str) -> None:
+    """Parquet in a folder per value of ``by``, replacing what is there; read it with ``open_parts``, empty or not."""
+    df.write.mode("overwrite").partitionBy(by).parquet(path)
+    df.limit(0).write.parquet(f"{path}/_shape")
+
+
+def open_parts(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_parts`` wrote."""
+    return spark.read.schema(spark.read.parquet(f"{path}/_shape").schema).parquet(path)
+
+
 def write_all(frames: Mapping[str, DataFrame], path: str, at_once: int = 4) -> None:
     """Several independent serving tables; their jobs share the cluster."""
     with ThreadPoolExecutor(at_once) as pool:
