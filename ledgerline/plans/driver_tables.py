@@ -242,5 +242,20 @@ def write_jsonl(frames: dict[str, DataFrame], path: str) -> None:
         lines.write.text(f"{path}/{source.folder}")
 
 
+def write_changed_jsonl(frames: dict[str, DataFrame], path: str) -> None:
+    """Order items as a source drops them after a change: every third order's lines have two fields more, and
+    lines of every fiftieth order come once more, cut off."""
+    items, order = frames["order_items"], F.col("salesOrder").cast("bigint")
+    third = order % 3 == 0
+    more = [
+        F.when(third, F.col("requestedQuantity").cast("double").cast("bigint")).alias("confirmedQuantity"),
+        F.when(third, F.struct(F.lit("EN").alias("language"), F.col("material").alias("note"))).alias("texts"),
+    ]
+    lines = items.withColumn("value", F.to_json(F.struct(*items.columns, *more)))
+    copies = F.explode(F.when(order % 50 == 0, F.array(F.lit(1 << 20), F.lit(30))).otherwise(F.array(F.lit(1 << 20))))
+    lines = lines.withColumn("length", copies)
+    lines.select(F.substring("value", F.lit(1), F.col("length"))).write.text(f"{path}/{SOURCES['order_items'].folder}")
+
+
 def open_exports(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in EXPORTS}

@@ -13,7 +13,7 @@ def days(a: str, b: str) -> str:
     return _DAYS.format(a=a, b=b)
 
 
-_KEY = (
+LINE_KEY = (
     "l_linenumber || '.' || l_partkey || '.' || l_suppkey || '.' "
     "|| CAST(CAST(l_shipdate AS DATE) AS VARCHAR)"
 )
@@ -34,7 +34,7 @@ WITH soh AS (
         '' AS billing_block_reason
     FROM orders
 ), soi AS (
-    SELECT CAST(l_orderkey AS VARCHAR) AS sales_order_id, {_KEY} AS sales_order_item,
+    SELECT CAST(l_orderkey AS VARCHAR) AS sales_order_id, {LINE_KEY} AS sales_order_item,
         CAST(l_partkey AS VARCHAR) AS material_id, 'G' || (l_partkey % 10) AS material_group,
         l_quantity AS item_qty, 'EA' AS qty_unit, l_extendedprice AS item_net_amount,
         CAST(l_suppkey AS VARCHAR) AS plant,
@@ -52,14 +52,14 @@ WITH soh AS (
         'C' AS picking_status, '' AS delivery_block, 'SP' || min(l_suppkey % 2) AS shipping_point
     FROM shipped GROUP BY delivery_id
 ), odi AS (
-    SELECT delivery_id, '0000' || {_KEY} AS delivery_item,
-        CAST(l_orderkey AS VARCHAR) AS sales_order_id, {_KEY} AS sales_order_item,
+    SELECT delivery_id, '0000' || {LINE_KEY} AS delivery_item,
+        CAST(l_orderkey AS VARCHAR) AS sales_order_id, {LINE_KEY} AS sales_order_item,
         l_quantity AS actual_delivery_qty, CAST(l_suppkey AS VARCHAR) AS delivery_plant,
         'S' || (l_suppkey % 3) AS storage_location
     FROM shipped
 ), bdi AS (
-    SELECT {_BILLING} AS billing_doc_id, {_KEY} AS billing_doc_item, delivery_id,
-        '0000' || {_KEY} AS delivery_item, CAST(l_partkey AS VARCHAR) AS material_id,
+    SELECT {_BILLING} AS billing_doc_id, {LINE_KEY} AS billing_doc_item, delivery_id,
+        '0000' || {LINE_KEY} AS delivery_item, CAST(l_partkey AS VARCHAR) AS material_id,
         l_quantity AS billed_qty, l_extendedprice AS billed_amount,
         l_partkey, l_orderkey, l_returnflag, o_orderstatus
     FROM shipped WHERE l_linestatus = 'F'

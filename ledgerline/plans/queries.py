@@ -26,11 +26,12 @@ from ledgerline.operators import (
     payloads,
     rollup,
     serving,
+    sketches,
 )
 from ledgerline.plans import batch, oracle
 from ledgerline.plans.store import DataSet
-from ledgerline.sources import readers, sinks, snapshots
-from ledgerline.sources.catalog import CUSTOMER_KPI_DDL, ORDER_COLUMNS_DDL, SOURCES
+from ledgerline.sources import drops, readers, sinks, snapshots
+from ledgerline.sources.catalog import CUSTOMER_KPI_DDL, ORDER_COLUMNS_DDL, SOURCES, Source
 
 Query = Callable[[DataSet], DataFrame]
 
@@ -647,6 +648,40 @@ def kpi_dispatch(d: DataSet) -> DataFrame:
     return line("all", None).unionByName(line("customer", CUSTOMER))
 
 
+@query(
+    """
+    SELECT lifecycle_stage, count(*) AS orders, TRUE AS customers_near, TRUE AS orders_near, TRUE AS median_near
+    FROM order_table GROUP BY lifecycle_stage"""
+)
+def sketch_estimates(d: DataSet) -> DataFrame:
+    """Distinct counts and medians out of merged sketches, held against the exact ones.
+
+    Near: within four standard errors of the count, and within a hundredth of the ranks.
+    """
+    orders, by = d.serving().orders, "lifecycle_stage"
+    found = sketches.estimates(sketches.merged(sketches.build(orders), by), by)
+    span = "order_to_delivery_days"
+    exact = orders.groupBy(by).agg(
+        F.count_distinct("customer_id").alias("c"), F.count_distinct("sales_order_id").alias("o"), F.count(span).alias("n")
+    )
+    ranked = orders.join(found.select(by, f"p50_{span}"), by).groupBy(by).agg(
+        F.count_if(F.col(span) < F.col(f"p50_{span}")).alias("below"), F.count_if(F.col(span) <= F.col(f"p50_{span}")).alias("upto")
+    )
+    error = 4 * 1.04 / 2 ** (sketches.REGISTERS / 2)
+
+    def near(estimate: str, count: str) -> F.Column:
+        return F.abs(F.col(estimate) - F.col(count)) <= F.ceil(F.col(count) * error)
+
+    median = (F.col("below") <= F.col("n") * 0.51) & (F.col("upto") >= F.col("n") * 0.49)
+    return found.join(exact, by).join(ranked, by).select(
+        by,
+        "orders",
+        near("customers", "c").alias("customers_near"),
+        near("distinct_orders", "o").alias("orders_near"),
+        median.alias("median_near"),
+    )
+
+
 @query(
     """
     SELECT 'cancelled' AS issue_type, count(*) FILTER (WHERE is_billing_cancelled) AS order_count
@@ -1084,6 +1119,69 @@ def doc_nodes_of_order(d: DataSet) -> DataFrame:
     return docgraph.of_order(docgraph.nodes(d.serving().items, d.exports()["journal"]), ORDER)
 
 
+_PATHS = [
+    ("delivery", "delivery_id", "sales_order", "sales_order_id", -1),
+    ("delivery", "delivery_id", "delivery", "delivery_id", 0),
+    ("delivery", "delivery_id", "billing_document", "billing_doc_id", 1),
+    ("delivery", "delivery_id", "accounting_document", "accounting_document", 2),
+    ("delivery", "delivery_id", "journal_entry", "accounting_document || '/1'", 3),
+    ("billing_document", "billing_doc_id", "sales_order", "sales_order_id", -2),
+    ("billing_document", "billing_doc_id", "delivery", "delivery_id", -1),
+    ("billing_document", "billing_doc_id", "billing_document", "billing_doc_id", 0),
+    ("billing_document", "billing_doc_id", "accounting_document", "accounting_document", 1),
+    ("billing_document", "billing_doc_id", "journal_entry", "accounting_document || '/1'", 2),
+]
+
+
+@query(
+    " UNION ".join(
+        f"SELECT '{a}' AS start_type, {a_id} AS start_id, '{b}' AS node_type, {b_id} AS node_id, {n} AS hops "
+        f"FROM items WHERE {a_id} IS NOT NULL AND {b_id} IS NOT NULL"
+        for a, a_id, b, b_id, n in _PATHS
+    )
+)
+def doc_trace(d: DataSet) -> DataFrame:
+    """Up and down the chain from every delivery and every billing document."""
+    t = d.serving()
+    found = docgraph.nodes(t.items).filter(F.col("node_type").isin("delivery", "billing_document"))
+    starts = found.select(F.col("node_type").alias("start_type"), F.col("node_id").alias("start_id"))
+    return docgraph.trace(docgraph.edges(t.items, d.exports()["journal"]), starts)
+
+
+@query(
+    f"""
+    SELECT * FROM ({_EDGES}) WHERE sales_order_id IN (
+        SELECT sales_order_id FROM items WHERE billing_doc_id = (SELECT min(billing_doc_id) FROM items))"""
+)
+def doc_edges_of_billing(d: DataSet) -> DataFrame:
+    """The document view opened from a billing document."""
+    t, journal = d.serving(), d.exports()["journal"]
+    first = t.items.agg(F.min("billing_doc_id")).first()[0]
+    found = docgraph.nodes(t.items, journal)
+    return docgraph.of_document(docgraph.edges(t.items, journal), found, "billing_document", first)
+
+
+@query(
+    """
+    , paid AS (
+        SELECT DISTINCT sales_order_id, customer_id || '/' || strftime(payment_posting_date, '%Y-%m') AS document
+        FROM items WHERE payment_posting_date IS NOT NULL
+    ), pairs AS (
+        SELECT DISTINCT a.sales_order_id AS a, b.sales_order_id AS b FROM paid a JOIN paid b USING (document)
+    ), reach AS (
+        SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+    )
+    SELECT sales_order_id, coalesce(least(sales_order_id, min(b)), sales_order_id) AS group_id
+    FROM (SELECT DISTINCT sales_order_id FROM items) LEFT JOIN reach ON a = sales_order_id GROUP BY sales_order_id"""
+)
+def order_groups(d: DataSet) -> DataFrame:
+    """Orders joined by payments; a customer's payments of a month count as one document here."""
+    paid = F.col("payment_posting_date").isNotNull()
+    document = F.concat_ws("/", "customer_id", F.date_format("payment_posting_date", "yyyy-MM"))
+    items = d.serving().items.withColumn("accounting_document", F.when(paid, document))
+    return docgraph.order_groups(docgraph.nodes(items), d.fresh("groups"), ("accounting_document",))
+
+
 @query(
     """
     SELECT sales_order_id, sales_order_item, CASE WHEN NOT has_delivery THEN 'delivery'
@@ -1112,14 +1210,64 @@ _FILES = "*.txt"
     )
 )
 def load_profile(d: DataSet) -> DataFrame:
-    """Every export as dropped, with the lines that don't parse."""
+    """Every export as dropped, with the lines that don't parse: counted while the exports are loaded."""
     catalog = {name: SOURCES[name] for name in _EXPORTED}
-    profile = readers.load_profile(readers.read_all(d.spark, d.jsonl(), catalog, files=_FILES))
-    broken = F.lit(0).cast("long")
-    for name, source in catalog.items():
-        found = readers.malformed_lines(d.spark, d.jsonl(), source, _FILES).scalar()
-        broken = F.when(F.col("table_name") == name, found).otherwise(broken)
-    return profile.withColumn("malformed", broken)
+    return drops.load(d.spark, d.jsonl(), d.fresh("loaded"), catalog, _FILES).profile
+
+
+_CHANGED = {"order_items": SOURCES["order_items"]}
+_THIRD = "l_orderkey % 3 = 0"
+
+
+@query(
+    f"""
+    SELECT CAST(l_orderkey AS VARCHAR) AS "salesOrder", {oracle.LINE_KEY} AS "salesOrderItem",
+        CAST(l_quantity AS VARCHAR) AS "requestedQuantity", CAST(NULL AS VARCHAR) AS "storageLocation",
+        CASE WHEN {_THIRD} THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS "confirmedQuantity",
+        CASE WHEN {_THIRD} THEN '{{"language":"EN","note":"' || l_partkey || '"}}' END AS texts
+    FROM lineitem""",
+    chain=False,
+)
+def scan_union(d: DataSet) -> DataFrame:
+    """A drop with fields the catalogue doesn't know, each a column like the others."""
+    loaded = drops.load(d.spark, d.changed(), d.fresh("loaded"), _CHANGED, _FILES)
+    found = drops.union_of_keys(loaded.frames["order_items"])
+    return found.drop(*[f for f in found.columns if f in _UNSHOWN])
+
+
+_UNSHOWN = set(SOURCES["order_items"].fields) - {"salesOrder", "salesOrderItem", "requestedQuantity", "storageLocation"}
+
+
+@query(
+    """
+    SELECT 'order_items' AS export, substr('{"salesOrder":"' || l_orderkey || '","salesOrderItem":', 1, 30) AS line, TRUE AS located
+    FROM lineitem WHERE l_orderkey % 50 = 0""",
+    chain=False,
+)
+def quarantined_lines(d: DataSet) -> DataFrame:
+    """The lines of a drop that are no JSON object; located: they name a file of the drop and its time."""
+    loaded = drops.load(d.spark, d.changed(), d.fresh("loaded"), _CHANGED, _FILES)
+    folder = SOURCES["order_items"].folder
+    located = F.col("file").contains(f"/changed/{folder}/part-") & F.col("modified").isNotNull()
+    return loaded.quarantine.select("export", "line", located.alias("located"))
+
+
+_EXTRA = {"confirmedQuantity": "BIGINT", "texts": "OBJECT<language: STRING, note: STRING>"}
+_ABSENT = ["salesOrderItemCategory", "transactionCurrency", "storageLocation"]
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT 'order_items' AS export, '{f}' AS field, {f not in _EXTRA} AS known, count(*) AS rows, "
+        + (f"'{_EXTRA.get(f, 'STRING')}' AS type" if f not in _ABSENT else "CAST(NULL AS VARCHAR) AS type")
+        + f" FROM lineitem WHERE {_THIRD if f in _EXTRA else f not in _ABSENT}"
+        for f in (*SOURCES["order_items"].fields, *_EXTRA)
+    ),
+    chain=False,
+)
+def schema_drift(d: DataSet) -> DataFrame:
+    """Every field of a drop, with how many rows have it and the type its values share."""
+    return drops.drift(d.spark, d.changed(), _CHANGED, _FILES)
 
 
 @query("SELECT * FROM soi")
@@ -1128,11 +1276,17 @@ def scan_jsonl(d: DataSet) -> DataFrame:
     return cleaning.clean("order_items", raw)
 
 
-@query("SELECT * FROM customer_table WHERE FALSE")
+@query(
+    """
+    SELECT * REPLACE (CAST(NULL AS TIMESTAMP) AS payment_posting_date, CAST(NULL AS TIMESTAMP) AS payment_clearing_date,
+        CAST(NULL AS DOUBLE) AS total_amount_paid) FROM linked"""
+)
 def scan_missing_folder(d: DataSet) -> DataFrame:
-    """Exports that were never dropped: the chain still plans and has no rows."""
-    nothing = readers.read_all(d.spark, f"{d.folder}/no-such-drop")
-    return batch.plan(nothing).customers
+    """All exports but the payments, whose folder was never dropped: the chain has all rows, without payments."""
+    gone = SOURCES["payments"]
+    catalog = SOURCES | {"payments": Source("no_such_folder", gone.fields)}
+    raw = readers.read_all(d.spark, d.jsonl(), catalog, files=_FILES)
+    return rounded(linking.unified_items(cleaning.clean_all(raw)), *_ITEM_AMOUNTS)
 
 
 @query("SELECT * FROM order_table")
@@ -1150,6 +1304,16 @@ def json_round_trip(d: DataSet) -> DataFrame:
     return d.spark.read.schema(CUSTOMER_KPI_DDL).json(path)
 
 
+@query("SELECT * FROM customer_table")
+def json_documents(d: DataSet) -> DataFrame:
+    """Customer KPIs out of JSON documents over many lines, an array of a hundred customers each."""
+    path, customers = d.fresh("documents"), d.serving().customers
+    whole = F.to_json(F.collect_list(F.struct(*customers.columns)), {"pretty": "true", "ignoreNullFields": "false"})
+    hundred = F.floor(F.col("customer_id").cast("bigint") / 100).alias("part")
+    customers.groupBy(hundred).agg(whole.alias("value")).write.partitionBy("part").text(path)
+    return readers.read_json_document(d.spark, path, CUSTOMER_KPI_DDL).drop("part")
+
+
 @query("SELECT event_id, 2 AS copies, TRUE AS stamped FROM events", chain=False)
 def append_log(d: DataSet) -> DataFrame:
     path = d.fresh("log")

@@ -39,6 +39,14 @@ class DataSet:
             self.opened["jsonl"] = path
         return self.opened["jsonl"]
 
+    def changed(self) -> str:
+        """A drop whose lines have new fields in part, and bad lines between them."""
+        if "changed" not in self.opened:
+            path = f"{self.folder}/changed"
+            driver_tables.write_changed_jsonl(self.exports(), path)
+            self.opened["changed"] = path
+        return self.opened["changed"]
+
     def serving(self) -> batch.ServingTables:
         if "serving" not in self.opened:
             self.opened["serving"] = batch.build(self.exports(), f"{self.folder}/serving")
