@@ -21,7 +21,7 @@ _DELIVERY = "'D' || l_orderkey || '-' || (l_suppkey % 2)"
 _BILLING = "'B' || l_orderkey || '-' || (l_suppkey % 2) || '-' || (l_linenumber % 2)"
 
 PREFIX = f"""
-WITH soh AS (
+WITH RECURSIVE soh AS (
     SELECT CAST(o_orderkey AS VARCHAR) AS sales_order_id, CAST(o_custkey AS VARCHAR) AS customer_id,
         'OR' AS order_type, '1000' AS sales_org,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'Z009' WHEN '2-HIGH' THEN 'Z001'
