@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -185,20 +183,42 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "a bigint, b bigint, similarity double")
 
 
+def _coded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all lines as 64-bit hashes, each once per line, and the line each belongs to, line after line."""
+    spelled = list(map(str.lower, lines))
+    codes = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(s) for s in spelled])
+    owner = np.repeat(np.arange(len(spelled)), np.diff(ends, prepend=0))
+    windows = max(0, len(codes) - SHINGLE + 1)
+    h = np.zeros(windows, np.uint64)
+    for i in range(SHINGLE):
+        h = (h ^ codes[i : i + windows]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    within = np.arange(windows) + SHINGLE <= ends[owner[:windows]]
+    h, owner = h[within], owner[:windows][within]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[first], owner[first]
+
+
 def _among(frame: pd.DataFrame) -> pd.DataFrame:
     """Links among members of a bucket that don't both link to its center.
 
     Two sets alike share a shingle among the rarest fifth of either, rarity
-    counted in the bucket: only pairs that do are looked at.  Distances
-    1 - similarity obey the triangle inequality, so members whose distances from
-    the center differ by more than the limit can't be alike either.  Members
-    already joined need no comparison.
+    counted in the bucket: only pairs that do are looked at, and only in the
+    first bucket they share.  Distances 1 - similarity obey the triangle
+    inequality, so members whose distances from the center differ by more than
+    the limit can't be alike either, nor can sets of too different sizes.
+    Members already joined need no comparison.
     """
-    keys, far = frame["key"].tolist(), (1 - frame["similarity"]).tolist()
-    sets = [shingles(s) for s in frame["spelled"]]
+    keys, far = frame["key"].tolist(), (1 - frame["similarity"]).to_numpy()
+    band, n = frame["band"].iloc[0], len(frame)
+    earlier = [frozenset(b for b in bands if b < band) for bands in frame["bands"]]
     apart = frame["left"].iloc[0] != frame["right"].iloc[0]
-    near, chunk = [f <= 1 - ALIKE for f in far], frame["chunk"].tolist()
-    root = list(range(len(keys)))
+    near, chunk = far <= 1 - ALIKE, frame["chunk"].to_numpy()
+    root = list(range(n))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -206,22 +226,42 @@ def _among(frame: pd.DataFrame) -> pd.DataFrame:
             x = root[x]
         return x
 
-    linked = [i for i, n in enumerate(near) if n]
+    linked = np.flatnonzero(near).tolist()
     for i in linked[1:]:
         root[i] = linked[0]
-    count = Counter(chain.from_iterable(sets))
-    holders: dict[str, list[int]] = {}
+    hashes, owner = _coded(frame["spelled"].tolist())
+    _, ids, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    ids = ids[np.lexsort((ids, count[ids], owner))]
+    sizes = np.bincount(owner, minlength=n)
+    starts = (np.cumsum(sizes) - sizes).tolist()
+    own = [ids[at : at + size].tolist() for at, size in zip(starts, sizes.tolist())]
+    sets: dict[int, set[int]] = {}
+    holders: dict[int, list[int]] = {}
     out = []
-    for i, own in enumerate(sets):
-        rarest = sorted(own, key=lambda x: (count[x], x))[: len(own) - math.ceil(ALIKE * len(own) - 1e-9) + 1]
-        met = {j for x in rarest for j in holders.get(x, ())}
+    for i, mine in enumerate(own):
+        size = len(mine)
+        rarest = mine[: size - math.ceil(ALIKE * size - 1e-9) + 1]
+        met = np.fromiter(set().union(*(holders.get(x, ()) for x in rarest)), np.int64)
         for x in rarest:
             holders.setdefault(x, []).append(i)
-        for j in sorted(met):
-            if (near[i] and near[j]) or (apart and chunk[i] == chunk[j]) or abs(far[i] - far[j]) > 1 - ALIKE + 1e-9:
+        if not len(met):
+            continue
+        both = np.minimum(sizes[met], size) >= ALIKE * np.maximum(sizes[met], size) - 1e-9
+        both &= np.abs(far[met] - far[i]) <= 1 - ALIKE + 1e-9
+        if near[i]:
+            both &= ~near[met]
+        if apart:
+            both &= chunk[met] != chunk[i]
+        for j in sorted(met[both].tolist()):
+            if not earlier[i].isdisjoint(earlier[j]):
                 continue
             x, y = find(i), find(j)
-            if x != y and similarity(own, sets[j]) >= ALIKE:
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = set(own[k])
+            if similarity(sets[i], sets[j]) >= ALIKE:
                 root[y] = x
                 out.append((keys[i], keys[j]))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -267,7 +307,8 @@ def like_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rest = rest.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
     rest = rest.withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
-    rest = rest.join(spelled, "key").select("band", "left", "right", "chunk", "key", "similarity", "spelled")
+    known = shared.groupBy("key").agg(F.collect_set("band").alias("bands")).join(spelled, "key")
+    rest = rest.join(known, "key").select("band", "left", "right", "chunk", "key", "similarity", "bands", "spelled")
     among = rest.groupBy("band", "left", "right").applyInPandas(_among, "a bigint, b bigint")
 
     edges = compared.filter(F.col("similarity") >= ALIKE).select("a", "b").union(among)
