@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import connected
-from ledgerline.llm.work import Scratch
+from ledgerline.llm.work import Scratch, free
 
-#: Characters in a shingle.  A line of fewer has none and is like its exact copies only.
+#: Characters in a shingle.  A line of fewer is one shingle, so it is like lines that differ in case only.
 SHINGLE = 9
 
 #: Lines are alike if the sets of their shingles have at least this Jaccard similarity.
@@ -104,8 +104,15 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return (keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def _short_key(line: str) -> int:
+    digest = hashlib.blake2b(line.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
+
+
 def shingles(line: str) -> set[str]:
     line = line.lower()
+    if len(line) < SHINGLE:
+        return {line}
     return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
@@ -119,7 +126,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """Every line that isn't blank: doc_id, print (hash of the text), line (from 0), key, spelled.
 
     spelled is the line without white space at its ends; key its hash.  Lines
-    that differ in case only have different keys but the same shingles, if any.
+    that differ in case only have different keys but the same shingles.
     """
     trimmed = F.btrim(F.col("raw"), F.lit(" \t\r\x0b\x0c"))
     own = docs.select("doc_id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
@@ -130,19 +137,21 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def _signed(found: DataFrame) -> DataFrame:
     """The occurrences without their spelling, with band keys at the first of a key in a batch.
 
-    Lines without a shingle get none: their key is all they have in common.
+    A line shorter than a shingle has one key, by the whole of it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy()
             first = np.sort(np.unique(keys, return_index=True)[1])
-            first = first[pc.utf8_length(batch.column("spelled")).to_numpy()[first] >= SHINGLE]
-            bands = band_keys(batch.column("spelled").take(pa.array(first)).to_pylist())
+            spelled = batch.column("spelled").take(pa.array(first)).to_pylist()
+            # of the lower-cased line, whose length may differ
+            short = np.array([len(line.lower()) < SHINGLE for line in spelled], bool)
+            bands = iter(band_keys([line for line, s in zip(spelled, short) if not s]).tolist())
+            each = [[_short_key(line)] if s else next(bands) for line, s in zip(spelled, short)]
             at = np.full(len(keys), -1)
             at[first] = np.arange(len(first))
-            packed = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))
-            rows = packed.take(pa.array(at, mask=at < 0))
+            rows = pa.array(each, pa.list_(pa.int64())).take(pa.array(at, mask=at < 0))
             names = ["doc_id", "print", "line", "key"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], rows], names=[*names, "bands"])
 
@@ -327,8 +336,13 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     named = scratch.write(like_lines(docs, scratch), "named")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "print", "line")
-    firsts = named.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = named.join(firsts.filter("n > 1"), "component").filter(~order.eqNullSafe(F.col("first")))
+    firsts = named.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = scratch.write(firsts, "firsts")
+    # components of a thousandth of all lines, a thousand at most, are looked up; no task gets all lines of one
+    often = F.col("n") * 1000 >= F.lit(named.count())
+    hot, others = F.broadcast(firsts.filter(often)), firsts.filter(~often)
+    later = named.join(hot, "component").unionByName(named.join(hot, "component", "left_anti").join(others, "component"))
+    later = later.filter(~order.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "print").agg(F.collect_set("line").alias("gone"))
 
 
@@ -337,28 +351,27 @@ def cleaned(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     Rows with equal id and text are one document and keep the same lines; null
     texts stay null with no lines, empty ones have one; blank lines always stay;
-    lines of fewer than SHINGLE characters go if an exact copy, by case too,
-    comes earlier; columns so named are replaced.
+    columns so named are replaced.
     """
-    gone = repeated(docs, scratch).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "gone")
-    gone = gone.withColumnRenamed("gone", "_gone")
-    same = [docs["doc_id"].eqNullSafe(gone["_id"]), F.xxhash64(docs["text"]) == gone["_print"]]
+    id_, print_, gone_, text_ = free(docs.columns, "_id", "_print", "_gone", "_text")
+    gone = repeated(docs, scratch).toDF(id_, print_, gone_)
+    same = [docs["doc_id"].eqNullSafe(gone[id_]), F.xxhash64(docs["text"]) == gone[print_]]
     rows = docs.join(gone, same, "left")
 
     def without(parts: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone_))
         return F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
 
     # inside a lambda, so that a text is split once
     rest = F.transform(F.array(F.split("text", "\n", -1)), without)[0]
     breaks = F.char_length("text") - F.char_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     before = F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long")
-    after = before - F.coalesce(F.size("_gone"), F.lit(0))
-    after = F.when(F.col("_gone").isNull(), before).otherwise(after)
-    rows = rows.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))
+    after = before - F.coalesce(F.size(gone_), F.lit(0))
+    after = F.when(F.col(gone_).isNull(), before).otherwise(after)
+    rows = rows.withColumn(text_, F.when(F.col(gone_).isNull(), F.col("text")).otherwise(rest))
     kept = [c for c in docs.columns if c not in ("text", "lines_before", "lines_after")]
     return rows.select(
-        *[docs[c] for c in kept], F.col("_text").alias("text"), before.alias("lines_before"), after.alias("lines_after")
+        *[docs[c] for c in kept], F.col(text_).alias("text"), before.alias("lines_before"), after.alias("lines_after")
     )
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.work import Scratch
+from ledgerline.llm.work import Scratch, free
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -228,24 +228,27 @@ def mixed_texts(docs: DataFrame, scratch: Scratch, recipe: Recipe = Recipe()) ->
     """
     rows = plan(docs, recipe, scratch).select("doc_id", "source", "print", F.struct("start", "whole", spans().alias("spans")).alias("plan"))
     once = rows.groupBy("doc_id", "source", "print").agg(F.min("plan").alias("plan"))
-    once = once.select("doc_id", "source", "print", "plan.whole", "plan.spans").toDF("_id", "_source", "_print", "_whole", "_spans")
-    own = docs.withColumns({"_words": words(), "_own": F.xxhash64("text")}).filter("_words > 0")
-    same = [own["doc_id"].eqNullSafe(once["_id"]), own["source"].eqNullSafe(once["_source"])]
-    both = own.join(once, [*same, own["_own"] == once["_print"]])
+    own_, words_, id_, source_, print_, whole_, spans_, pieces_, text_ = free(
+        docs.columns, "_own", "_words", "_id", "_source", "_print", "_whole", "_spans", "_pieces", "_text"
+    )
+    once = once.select("doc_id", "source", "print", "plan.whole", "plan.spans").toDF(id_, source_, print_, whole_, spans_)
+    own = docs.withColumns({words_: words(), own_: F.xxhash64("text")}).filter(F.col(words_) > 0)
+    same = [own["doc_id"].eqNullSafe(once[id_]), own["source"].eqNullSafe(once[source_])]
+    both = own.join(once, [*same, own[own_] == once[print_]])
 
     def uncut(s: Column) -> Column:
-        return (s["begin"] == 0) & (s["end"] == F.col("_words"))
+        return (s["begin"] == 0) & (s["end"] == F.col(words_))
 
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{GAP}*{WORD}"), F.lit(0))
-    both = both.withColumn("_pieces", F.when(F.exists("_spans", lambda s: ~uncut(s)), pieces))
+    both = both.withColumn(pieces_, F.when(F.exists(spans_, lambda s: ~uncut(s)), pieces))
 
     def part(s: Column) -> Column:
-        cut = F.array_join(F.slice("_pieces", s["begin"] + 1, s["end"] - s["begin"]), "")
+        cut = F.array_join(F.slice(pieces_, s["begin"] + 1, s["end"] - s["begin"]), "")
         cut = F.when(s["begin"] > 0, F.regexp_replace(cut, f"^{GAP}+", "")).otherwise(cut)
         return F.when(uncut(s), F.col("text")).otherwise(cut)
 
-    copies = F.array_repeat(F.col("text"), F.col("_whole").cast("int"))
-    texts = both.withColumn("_text", F.explode(F.concat(copies, F.transform("_spans", part))))
-    n_chars = F.char_length("_text").cast("long")
-    new = {"text": F.col("_text"), "n_chars": n_chars}
+    copies = F.array_repeat(F.col("text"), F.col(whole_).cast("int"))
+    texts = both.withColumn(text_, F.explode(F.concat(copies, F.transform(spans_, part))))
+    n_chars = F.char_length(text_).cast("long")
+    new = {"text": F.col(text_), "n_chars": n_chars}
     return texts.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

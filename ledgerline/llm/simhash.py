@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import connected
-from ledgerline.llm.work import Scratch
+from ledgerline.llm.work import Scratch, free
 
 BITS = 64
 
@@ -225,12 +225,11 @@ def deduplicated(docs: DataFrame, scratch: Scratch, size: int = 4, bits: int = 4
     and of rows equal in both the smallest by all columns.
     """
     found = _grouped(docs, scratch, size, bits, seed)
-    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("print").alias("_print"))
+    key = free(docs.columns, "_none", "_id", "_print")
+    parts = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))]
+    order = F.struct(*[c.alias(name) for c, name in zip([*parts, F.col("print")], key)])
     kept = scratch.write(found.groupBy("component").agg(F.min(order).alias("first")).select("first.*"), "kept")
-    key = ["_none", "_id", "_print"]
-    keyed = docs.withColumns(
-        {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_print": F.xxhash64("text")}
-    )
+    keyed = docs.withColumns(dict(zip(key, [*parts, F.xxhash64("text")])))
     rows = keyed.join(kept, key, "left_semi")
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    return rows.groupBy(*key).agg(F.min(whole).alias("_row")).select("_row.*")
+    return rows.groupBy(*key).agg(F.min(whole).alias("row")).select("row.*")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.work import Scratch
+from ledgerline.llm.work import Scratch, free
 
 #: Labelled rows the model is fitted to at most, of either class; chosen by a hash of the id.
 SAMPLE_PER_CLASS = 8_000
@@ -255,5 +255,5 @@ def scores(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, scratch: Scratch, limit: float = 0.5) -> DataFrame:
     """Documents that score below ``limit``, with their own columns."""
     machine = train(docs, labels, scratch)
-    clash = "_toxic_score"
+    (clash,) = free(docs.columns, "_toxic_score")
     return scored(docs, machine, to=clash).filter(F.col(clash) < limit).drop(clash)

@@ -19,6 +19,17 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def free(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted``, each with as many underscores ahead as it takes to be none of ``columns``, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """A folder of one operator run.
 
