@@ -32,7 +32,7 @@ class Rule:
 
 @dataclass(frozen=True)
 class Settings:
-    """A node with ``support`` URLs or more is split by its next segment; siblings merge if none of
+    """A node with ``support`` URLs or more, or with labelled and unlabelled ones, is split by its next segment; siblings merge if none of
     their rates differs from the others' by ``differ`` standard errors; a template is rejected if
     (bad + 1) / (labelled + 2) is above ``reject``."""
 
@@ -106,7 +106,7 @@ def _rates(rows: DataFrame, *by: str) -> DataFrame:
 
 def _level(rows: DataFrame, settings: Settings) -> DataFrame:
     """Rows at one depth of the tree, moved one segment down: template and depth grow."""
-    segment = F.element_at("segments", F.col("depth") + 1)
+    segment = F.get("segments", F.col("depth"))
     rows = rows.withColumn("segment", segment).withColumn("shape", _shape(F.col("segment")))
     node = ["host", "template"]
     values = rows.select(*node, "shape", "segment").distinct().groupBy(*node, "shape").agg(F.count(F.lit(1)).alias("values"))
@@ -128,12 +128,44 @@ def _level(rows: DataFrame, settings: Settings) -> DataFrame:
     return rows.drop("segment", "shape", "merged", "values")
 
 
+def _along_chains(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Rows with ``split``, whether their node is split, moved down to where the node's paths part.
+
+    A node is split if it has ``support`` URLs, or holds both labelled and
+    unlabelled ones, which are judged apart at any size.  Segments that all
+    paths of a node share would be a level each; the least and the greatest path
+    of a node share just those.
+    """
+    node = ["host", "template"]
+    own = rows.groupBy(*node).agg(
+        F.sum("n").alias("crowd"),
+        F.sum("labelled").alias("marked"),
+        F.min("segments").alias("low"),
+        F.max("segments").alias("high"),
+    )
+    alike = F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y))
+    parts = F.array_position(alike, F.lit(False))
+    shared = F.when(parts > 0, parts - 1).otherwise(F.size("low")).cast("int")
+    split = (F.col("crowd") >= settings.support) | ((F.col("marked") > 0) & (F.col("marked") < F.col("crowd")))
+    moved = rows.join(own.select(*node, split.alias("split"), shared.alias("shared")), node)
+    ahead = F.greatest("shared", "depth") - F.col("depth")
+    chain = F.transform(F.slice("segments", F.col("depth") + 1, ahead), lambda s: F.concat(F.lit("/"), s))
+    template = F.concat("template", F.array_join(chain, ""))
+    moved = moved.withColumns(
+        {
+            "template": F.when(F.col("split"), template).otherwise(F.col("template")),
+            "depth": F.when(F.col("split"), F.greatest("shared", "depth")).otherwise(F.col("depth")),
+        }
+    )
+    return moved.drop("shared")
+
+
 def templates(urls: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> DataFrame:
     """host, path, template, labelled, purity and rejected of every distinct (host, path).
 
     ``urls`` has host, path and label (1 bad, 0 good, null unknown).  URLs that
     share host and path are counted first.  The tree grows a level at a time,
-    as deep as nodes still have ``support`` URLs; the rest of a path is ``/**``.
+    shared segments at once, as deep as nodes are split; the rest of a path is ``/**``.
     Purity is (bad + 1) / (labelled + 2): without labels a template is not rejected.
     """
     label = F.col("label")
@@ -145,9 +177,8 @@ def templates(urls: DataFrame, scratch: Scratch, settings: Settings = Settings()
     columns = rows.columns
     open_rows, finished, level = scratch.write(rows, "level-0"), [], 0
     while True:
-        crowd = open_rows.groupBy("host", "template").agg(F.sum("n").alias("crowd"))
-        marked = open_rows.join(crowd, ["host", "template"])
-        goes_on = (F.size("segments") > F.col("depth")) & (F.col("crowd") >= settings.support)
+        marked = _along_chains(open_rows, settings)
+        goes_on = (F.size("segments") > F.col("depth")) & F.col("split")
         tail = F.when(F.size("segments") > F.col("depth"), F.lit("/**")).otherwise(F.lit(""))
         stays = marked.filter(~goes_on).withColumn("template", F.concat("template", tail)).select(*columns)
         finished.append(scratch.write(stays, f"done-{level}"))
