@@ -27,6 +27,9 @@ BANDS, EACH = 10, 4
 #: Lines of a bucket compared in one task; larger buckets go to several, pair of chunks by pair.
 CHUNK = 512
 
+#: Lines of small buckets compared in one group, about.
+TOGETHER = 4096
+
 #: Characters hashed together, small enough for the processor's cache.
 CHARS = 1 << 16
 
@@ -147,11 +150,14 @@ def _signed(found: DataFrame) -> DataFrame:
             spelled = batch.column("spelled").take(pa.array(first)).to_pylist()
             # of the lower-cased line, whose length may differ
             short = np.array([len(line.lower()) < SHINGLE for line in spelled], bool)
-            bands = iter(band_keys([line for line, s in zip(spelled, short) if not s]).tolist())
-            each = [[_short_key(line)] if s else next(bands) for line, s in zip(spelled, short)]
+            cuts = np.concatenate([[0], np.cumsum(np.where(short, 1, BANDS))])
+            flat = np.empty(cuts[-1], np.int64)
+            flat[cuts[:-1][short]] = [_short_key(line) for line, s in zip(spelled, short) if s]
+            places = cuts[:-1][~short][:, None] + np.arange(BANDS)
+            flat[places] = band_keys([line for line, s in zip(spelled, short) if not s])
             at = np.full(len(keys), -1)
             at[first] = np.arange(len(first))
-            rows = pa.array(each, pa.list_(pa.int64())).take(pa.array(at, mask=at < 0))
+            rows = pa.ListArray.from_arrays(cuts.astype(np.int32), flat).take(pa.array(at, mask=at < 0))
             names = ["doc_id", "print", "line", "key"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], rows], names=[*names, "bands"])
 
@@ -213,20 +219,27 @@ def _coded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _among(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links among members of a bucket that don't both link to its center.
+    """Links among members of buckets that don't both link to their center.
 
     Two sets alike share a shingle among the rarest fifth of either, rarity
-    counted in the bucket: only pairs that do are looked at, and only in the
+    counted in the frame: only pairs that do are looked at, and only in the
     first bucket they share.  Distances 1 - similarity obey the triangle
     inequality, so members whose distances from the center differ by more than
     the limit can't be alike either, nor can sets of too different sizes.
     Members already joined need no comparison.
     """
-    keys, far = frame["key"].tolist(), (1 - frame["similarity"]).to_numpy()
-    band, n = frame["band"].iloc[0], len(frame)
-    earlier = [frozenset(b for b in bands if b < band) for bands in frame["bands"]]
+    frame = frame.sort_values("band", kind="stable", ignore_index=True)
+    n, band = len(frame), frame["band"].to_numpy()
+    keys, far, chunk = frame["key"].tolist(), (1 - frame["similarity"]).to_numpy(), frame["chunk"].to_numpy()
+    earlier = [frozenset(bands[bands < own].tolist()) for own, bands in zip(band, frame["bands"])]
     apart = frame["left"].iloc[0] != frame["right"].iloc[0]
-    near, chunk = far <= 1 - ALIKE, frame["chunk"].to_numpy()
+    near = far <= 1 - ALIKE
+    hashes, owner = _coded(frame["spelled"].tolist())
+    _, ids, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    ids = ids[np.lexsort((ids, count[ids], owner))]
+    sizes = np.bincount(owner, minlength=n)
+    starts = (np.cumsum(sizes) - sizes).tolist()
+    own = [ids[at : at + size].tolist() for at, size in zip(starts, sizes.tolist())]
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -235,44 +248,40 @@ def _among(frame: pd.DataFrame) -> pd.DataFrame:
             x = root[x]
         return x
 
-    linked = np.flatnonzero(near).tolist()
-    for i in linked[1:]:
-        root[i] = linked[0]
-    hashes, owner = _coded(frame["spelled"].tolist())
-    _, ids, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    ids = ids[np.lexsort((ids, count[ids], owner))]
-    sizes = np.bincount(owner, minlength=n)
-    starts = (np.cumsum(sizes) - sizes).tolist()
-    own = [ids[at : at + size].tolist() for at, size in zip(starts, sizes.tolist())]
-    sets: dict[int, set[int]] = {}
-    holders: dict[int, list[int]] = {}
     out = []
-    for i, mine in enumerate(own):
-        size = len(mine)
-        rarest = mine[: size - math.ceil(ALIKE * size - 1e-9) + 1]
-        met = np.fromiter(set().union(*(holders.get(x, ()) for x in rarest)), np.int64)
-        for x in rarest:
-            holders.setdefault(x, []).append(i)
-        if not len(met):
-            continue
-        both = np.minimum(sizes[met], size) >= ALIKE * np.maximum(sizes[met], size) - 1e-9
-        both &= np.abs(far[met] - far[i]) <= 1 - ALIKE + 1e-9
-        if near[i]:
-            both &= ~near[met]
-        if apart:
-            both &= chunk[met] != chunk[i]
-        for j in sorted(met[both].tolist()):
-            if not earlier[i].isdisjoint(earlier[j]):
-                continue
-            x, y = find(i), find(j)
-            if x == y:
+    edges = [0, *(np.flatnonzero(band[1:] != band[:-1]) + 1).tolist(), n]
+    for first, last in zip(edges, edges[1:]):
+        linked = (np.flatnonzero(near[first:last]) + first).tolist()
+        for i in linked[1:]:
+            root[i] = linked[0]
+        sets: dict[int, set[int]] = {}
+        holders: dict[int, list[int]] = {}
+        for i in range(first, last):
+            mine, size = own[i], len(own[i])
+            rarest = mine[: size - math.ceil(ALIKE * size - 1e-9) + 1]
+            met = np.fromiter(set().union(*(holders.get(x, ()) for x in rarest)), np.int64)
+            for x in rarest:
+                holders.setdefault(x, []).append(i)
+            if not len(met):
                 continue
-            for k in (i, j):
-                if k not in sets:
-                    sets[k] = set(own[k])
-            if similarity(sets[i], sets[j]) >= ALIKE:
-                root[y] = x
-                out.append((keys[i], keys[j]))
+            both = np.minimum(sizes[met], size) >= ALIKE * np.maximum(sizes[met], size) - 1e-9
+            both &= np.abs(far[met] - far[i]) <= 1 - ALIKE + 1e-9
+            if near[i]:
+                both &= ~near[met]
+            if apart:
+                both &= chunk[met] != chunk[i]
+            for j in sorted(met[both].tolist()):
+                if not earlier[i].isdisjoint(earlier[j]):
+                    continue
+                x, y = find(i), find(j)
+                if x == y:
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = set(own[k])
+                if similarity(sets[i], sets[j]) >= ALIKE:
+                    root[y] = x
+                    out.append((keys[i], keys[j]))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -311,18 +320,22 @@ def like_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     todo = todo.filter("m > 1 AND (others > 1 OR bordered)")
     # buckets with the same members and center need one look
     todo = todo.groupBy("center", "m", "mark", "others", "bordered").agg(F.min("band").alias("band"))
+    todo = scratch.write(todo, "todo")
+    # small buckets share a group, large ones have several of their own
+    tasks = todo.select(F.ceil(F.sum("m") / TOGETHER).alias("tasks")).first()["tasks"] or 1
     rest = wide.join(todo.select("band", "m", "bordered"), "band").filter(other | F.col("bordered"))
     chunks = F.ceil(F.col("m") / CHUNK)
     rest = rest.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
     rest = rest.withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
     known = shared.groupBy("key").agg(F.collect_set("band").alias("bands")).join(spelled, "key")
-    rest = rest.join(known, "key").select("band", "left", "right", "chunk", "key", "similarity", "bands", "spelled")
-    among = rest.groupBy("band", "left", "right").applyInPandas(_among, "a bigint, b bigint")
+    rest = rest.join(known, "key").select("m", "band", "left", "right", "chunk", "key", "similarity", "bands", "spelled")
+    group = F.when(F.col("m") > CHUNK, F.xxhash64("band")).otherwise(F.pmod(F.xxhash64("band"), F.lit(tasks)))
+    among = rest.withColumn("group", group).drop("m").groupBy("group", "left", "right").applyInPandas(_among, "a bigint, b bigint")
 
     edges = compared.filter(F.col("similarity") >= ALIKE).select("a", "b").union(among)
     edges = scratch.write(edges, "edges")
-    scratch.drop("shared", "pairs", "spelled", "compared")
+    scratch.drop("shared", "pairs", "spelled", "compared", "todo")
     parts = connected(edges, scratch).withColumnRenamed("node", "key")
     named = signed.drop("bands").join(parts, "key", "left")
     return named.withColumn("component", F.coalesce("component", "key"))
