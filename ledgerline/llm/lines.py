@@ -183,34 +183,52 @@ def _worth_a_look(found: DataFrame, keys: DataFrame) -> DataFrame:
     return marked.join(keys.distinct(), "key").groupBy("key").agg(F.first("spelled").alias("spelled"))
 
 
+def _windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all lines as 64-bit hashes, and where those of each line begin, line after line.
+
+    Two of a few hundred shingles having one hash is out of the question, so sets of hashes stand for the sets.
+    """
+    spelled = list(map(str.lower, lines))
+    codes = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(line) for line in spelled], np.int64)
+    windows = max(0, len(codes) - SHINGLE + 1)
+    h = np.zeros(windows, np.uint64)
+    for i in range(SHINGLE):
+        h = (h ^ codes[i : i + windows]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(spelled)), sizes)[:windows]
+    within = np.arange(windows) + SHINGLE <= ends[owner]
+    return h[within], np.concatenate([[0], np.cumsum(np.maximum(0, sizes - SHINGLE + 1))])
+
+
 def _compared(pairs: DataFrame) -> DataFrame:
     """``pairs`` (a, b, a_spelled, b_spelled) with their exact similarity instead of the spelling."""
 
+    def sets(lines: list[str]) -> list[set]:
+        hashes, starts = _windows(lines)
+        each = hashes.tolist()
+        own = [set(each[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        return [found or shingles(line) for found, line in zip(own, lines)]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            last, center, out = None, set(), []
-            for a, b in zip(frame["a_spelled"], frame["b_spelled"]):
-                if b != last:
-                    last, center = b, shingles(b)
-                out.append(similarity(shingles(a), center))
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": out})
+        for whole in frames:
+            for at in range(0, len(whole), 1024):
+                frame = whole.iloc[at : at + 1024]
+                centers = list(dict.fromkeys(frame["b_spelled"]))
+                known = dict(zip(centers, sets(centers)))
+                both = zip(sets(frame["a_spelled"].tolist()), frame["b_spelled"])
+                yield pd.DataFrame(
+                    {"a": frame["a"], "b": frame["b"], "similarity": [similarity(own, known[b]) for own, b in both]}
+                )
 
     return pairs.mapInPandas(run, "a bigint, b bigint, similarity double")
 
 
 def _coded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of all lines as 64-bit hashes, each once per line, and the line each belongs to, line after line."""
-    spelled = list(map(str.lower, lines))
-    codes = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    ends = np.cumsum([len(s) for s in spelled])
-    owner = np.repeat(np.arange(len(spelled)), np.diff(ends, prepend=0))
-    windows = max(0, len(codes) - SHINGLE + 1)
-    h = np.zeros(windows, np.uint64)
-    for i in range(SHINGLE):
-        h = (h ^ codes[i : i + windows]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    within = np.arange(windows) + SHINGLE <= ends[owner[:windows]]
-    h, owner = h[within], owner[:windows][within]
+    """The hashes of ``_windows``, each once per line, and the line each belongs to, line after line."""
+    h, starts = _windows(lines)
+    owner = np.repeat(np.arange(len(lines)), np.diff(starts))
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     first = np.ones(len(h), bool)
