@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,9 @@ CHUNK = 512
 #: Lines of small buckets compared in one group, about.
 TOGETHER = 4096
 
+#: Bytes of text split at once.
+PIECE = 1 << 22
+
 #: Characters hashed together, small enough for the processor's cache.
 CHARS = 1 << 16
 
@@ -125,48 +130,85 @@ def similarity(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """Every line that isn't blank: doc_id, print (hash of the text), line (from 0), key, spelled.
-
-    spelled is the line without white space at its ends; key its hash.  Lines
-    that differ in case only have different keys but the same shingles.
-    """
-    trimmed = F.btrim(F.col("raw"), F.lit(" \t\r\x0b\x0c"))
-    own = docs.select("doc_id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    own = own.select("doc_id", "print", "line", trimmed.alias("spelled"))
-    return own.filter(F.length("spelled") > 0).withColumn("key", F.xxhash64("spelled"))
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about ``PIECE`` bytes of text; a longer text is a run of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // PIECE
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for first, last in zip(edges, edges[1:]):
+            if first < last:
+                yield batch.slice(first, last - first)
 
 
-def _signed(found: DataFrame) -> DataFrame:
-    """The occurrences without their spelling, with band keys at the first of a key in a batch.
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Every line of ``texts`` that isn't blank: row of its text, number (from 0), key, spelled.
 
-    A line shorter than a shingle has one key, by the whole of it.
+    spelled is the line without white space at its ends; key its XXH64.  Lines
+    that differ in case only have different keys but the same shingles.
+    """
+    parts = pc.split_pattern(texts, "\n")
+    owner = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
+    sizes = np.bincount(owner, minlength=len(texts))
+    number = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+    spelled = pc.ascii_trim(pc.list_flatten(parts), characters=" \t\r\x0b\x0c")
+    solid = np.flatnonzero(pc.binary_length(spelled).to_numpy(zero_copy_only=False))
+    spelled = spelled.take(pa.array(solid))
+    hashes = (xxhash.xxh64_intdigest(line, 42) for line in spelled.cast(pa.binary()).to_pylist())
+    keys = np.fromiter(hashes, np.uint64, len(solid)).view(np.int64)
+    return owner[solid], number[solid].astype(np.int32), keys, spelled
+
+
+def _line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of all lines in a row, and where those of each begin and end; one key for a short line."""
+    short = np.array([len(line.lower()) < SHINGLE for line in lines], bool)  # lower-casing may change the length
+    cuts = np.concatenate([[0], np.cumsum(np.where(short, 1, BANDS))])
+    flat = np.empty(cuts[-1], np.int64)
+    flat[cuts[:-1][short]] = [_short_key(line) for line, s in zip(lines, short) if s]
+    places = cuts[:-1][~short][:, None] + np.arange(BANDS)
+    flat[places] = band_keys([line for line, s in zip(lines, short) if not s])
+    return flat, cuts
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """Every line that isn't blank: doc_id, print (hash of the text), line (from 0), key, bands.
+
+    bands has the line's band keys at the first line of a key in a run of texts,
+    and is null at others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
+        for batch in _pieces(batches):
+            owner, number, keys, spelled = _split(batch.column("text"))
             first = np.sort(np.unique(keys, return_index=True)[1])
-            spelled = batch.column("spelled").take(pa.array(first)).to_pylist()
-            # of the lower-cased line, whose length may differ
-            short = np.array([len(line.lower()) < SHINGLE for line in spelled], bool)
-            cuts = np.concatenate([[0], np.cumsum(np.where(short, 1, BANDS))])
-            flat = np.empty(cuts[-1], np.int64)
-            flat[cuts[:-1][short]] = [_short_key(line) for line, s in zip(spelled, short) if s]
-            places = cuts[:-1][~short][:, None] + np.arange(BANDS)
-            flat[places] = band_keys([line for line, s in zip(spelled, short) if not s])
+            flat, cuts = _line_keys(spelled.take(pa.array(first)).to_pylist())
             at = np.full(len(keys), -1)
             at[first] = np.arange(len(first))
             rows = pa.ListArray.from_arrays(cuts.astype(np.int32), flat).take(pa.array(at, mask=at < 0))
-            names = ["doc_id", "print", "line", "key"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], rows], names=[*names, "bands"])
+            own = [batch.column(name).take(pa.array(owner)) for name in ("doc_id", "print")]
+            names = ["doc_id", "print", "line", "key", "bands"]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(number), pa.array(keys), rows], names=names)
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    own = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
+    return own.mapInArrow(run, f"doc_id {id_type}, print bigint, line int, key bigint, bands array<bigint>")
 
-    id_type = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {id_type}, print bigint, line int, key bigint, bands array<bigint>")
+
+def _spelled(docs: DataFrame) -> DataFrame:
+    """key and spelled of every line that isn't blank, once in a run of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            _, _, keys, spelled = _split(batch.column("text"))
+            first = np.sort(np.unique(keys, return_index=True)[1])
+            lines = spelled.take(pa.array(first))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), lines], names=["key", "spelled"])
+
+    return docs.select("text").mapInArrow(run, "key bigint, spelled string")
 
 
 def _worth_a_look(found: DataFrame, keys: DataFrame) -> DataFrame:
-    """key and spelled, once each, of the occurrences whose key is among ``keys``.
+    """key and spelled, once each, of the lines whose key is among ``keys``.
 
     A bit map of bounded size, built from the keys and broadcast, keeps most
     other lines out of the shuffle; the join that follows is exact.
@@ -174,11 +216,17 @@ def _worth_a_look(found: DataFrame, keys: DataFrame) -> DataFrame:
     place = F.shiftrightunsigned("key", 64 - MAP_BITS.bit_length() + 1)
     maps = keys.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part"))
     maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
+    numbers = F.sequence(F.lit(0), (F.length("map") / 8).cast("int") - 1)
+
+    def word(i: Column) -> Column:
+        return F.conv(F.hex(F.substring(F.col("map"), i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+
+    maps = maps.select("part", F.transform(numbers, word).alias("words"))
     marked = found.withColumn("at", place).withColumn("part", F.bitmap_bucket_number("at"))
     marked = marked.join(F.broadcast(maps), "part").withColumn("bit", F.bitmap_bit_position("at"))
-    byte = F.conv(F.hex(F.substring("map", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    set_ = F.expr("shiftright(byte, cast(bit % 8 as int)) & 1") == 1
-    marked = marked.withColumn("byte", byte).filter(set_)
+    # bit b of byte j is bit 56 - 8 j + b of a word of eight bytes
+    in_word = (F.col("bit").bitwiseXOR(F.lit(56).cast("long")) % 64).cast("int")
+    marked = marked.filter(F.getbit(F.get("words", F.shiftright("bit", 6).cast("int")), in_word) == 1)
     # not a semi join, which would be moved ahead of the map
     return marked.join(keys.distinct(), "key").groupBy("key").agg(F.first("spelled").alias("spelled"))
 
@@ -304,7 +352,7 @@ def _among(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def like_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The occurrences of ``docs`` with ``component``: equal for lines connected by likeness.
+    """The lines of ``_signed`` without bands, with ``component``: equal for lines connected by likeness.
 
     Buckets are lines that share a band.  Each member is first held against the
     bucket's smallest key, its center: a pair that meets in many bands is one
@@ -312,8 +360,7 @@ def like_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     themselves.  Both comparisons are exact; a pair of lines that shares a band
     is never left unconnected if it is alike.
     """
-    found = occurrences(docs)
-    signed = scratch.write(_signed(found), "signed")
+    signed = scratch.write(_signed(docs), "signed")
     members = signed.filter("bands IS NOT NULL").select(F.explode("bands").alias("band"), "key")
     per = Window.partitionBy("band")
     members = members.withColumn("center", F.min("key").over(per)).withColumn("last", F.max("key").over(per))
@@ -321,7 +368,7 @@ def like_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     shared = scratch.write(shared, "shared")
     pairs = scratch.write(shared.select(F.col("key").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
-    spelled = scratch.write(_worth_a_look(found, keys), "spelled")
+    spelled = scratch.write(_worth_a_look(_spelled(docs), keys), "spelled")
     first = spelled.withColumnsRenamed({"key": "a", "spelled": "a_spelled"})
     second = spelled.withColumnsRenamed({"key": "b", "spelled": "b_spelled"})
     # joined by center last, so that its pairs come together
