@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.operators import cube, directory, kpis, linking, milestones, rollup, serving
+from ledgerline.operators import cube, directory, grid, kpis, linking, milestones, rollup, serving
 from ledgerline.operators.cleaning import clean_all
 from ledgerline.sources import sinks
 
@@ -89,6 +89,12 @@ def build_directories(orders: DataFrame, path: str, ranges: int = 200) -> dict[s
     }
 
 
+def build_grid(orders: DataFrame, path: str, slices: int = 32) -> grid.Grid:
+    """Write the order table's grid, for services that look up orders by customer and by id."""
+    grid.write(orders, path, slices)
+    return grid.open_grid(orders.sparkSession, path)
+
+
 def export(tables: ServingTables, path: str) -> None:
     """The four result files of the batch job in their exchange formats."""
     sinks.write_csv(tables.items, f"{path}/items_csv")

@@ -19,6 +19,7 @@ from ledgerline.operators import (
     cube,
     directory,
     docgraph,
+    grid,
     issues,
     kpis,
     linking,
@@ -889,6 +890,28 @@ def issues_page_deep(d: DataSet) -> DataFrame:
     return _paged(directory.list_issues(d.directories()["issues"], "unpaid", offset=600).drop("issue_labels"))
 
 
+@query(f"SELECT * FROM order_table WHERE sales_order_id = '{ORDER}'")
+def order_lookup_grid(d: DataSet) -> DataFrame:
+    """An order out of the grid: a slice of the cells is read."""
+    return _paged(grid.order_by_id(d.grid(), ORDER))
+
+
+@query(
+    f"""
+    SELECT *, (SELECT count(*) FROM order_table WHERE customer_id = '{CUSTOMER}') AS order_count
+    FROM order_table WHERE customer_id = '{CUSTOMER}'"""
+)
+def customer_orders_grid(d: DataSet) -> DataFrame:
+    """A customer's orders out of the grid: a slice of the cells, the other way, is read."""
+    return _paged(grid.customer_orders(d.grid(), CUSTOMER))
+
+
+@query(_page_sql(f"customer_id = '{CUSTOMER}' AND coalesce(max_issue_severity, 0) >= 1", "order_created_date", 20, 0))
+def customer_page_grid(d: DataSet) -> DataFrame:
+    """A filtered page of one customer's orders out of the grid."""
+    return _paged(grid.list_orders(d.grid(), CUSTOMER, min_severity=1, limit=20))
+
+
 @query("SELECT * FROM order_table ORDER BY total_o2c_days NULLS LAST, sales_order_id")
 def orders_sorted(d: DataSet) -> DataFrame:
     return serving.sort_orders(_orders(d), "total_o2c_days", "asc")

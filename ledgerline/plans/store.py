@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.operators import grid
 from ledgerline.plans import batch, driver_tables
 
 
@@ -59,6 +60,12 @@ class DataSet:
             self.opened["directories"] = batch.build_directories(orders, f"{self.folder}/directories", ranges=16)
         return self.opened["directories"]
 
+    def grid(self) -> grid.Grid:
+        """The order table's grid; four slices each way, as the test tables are small."""
+        if "grid" not in self.opened:
+            self.opened["grid"] = batch.build_grid(self.serving().orders, f"{self.folder}/grid", slices=4)
+        return self.opened["grid"]
+
     def fresh(self, name: str) -> str:
         """A folder not used before, for results that are written and read back."""
         self.opened[name] = self.opened.get(name, 0) + 1
