@@ -131,6 +131,40 @@ def test_unusable_vectors_link_with_nothing(spark):
     assert near(spark, frame(spark, [[0, 0], None])) == {0: (0, 0, True), 1: (0, 1, True)}
 
 
+def test_every_shared_cell_is_a_meeting_and_the_first_one_counts():
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 9, (500, 3, 4)) * 10 + np.arange(4)  # cells of a vector differ within a table
+    b = rng.integers(0, 9, (500, 3, 4)) * 10 + np.arange(4)
+    for i in range(500):
+        shared = [(t, c) for t in range(3) for c in sorted(set(a[i, t]) & set(b[i, t]))]
+        counted = [
+            (t, c) for t, c in shared if lattice._first_meeting(a[i : i + 1], b[i : i + 1], t, int(c))[0]
+        ]
+        assert counted == shared[:1]
+
+
+def test_pairs_at_the_limit_meet():
+    """Pairs just above the limit share a cell, unrelated ones hardly ever."""
+    rng = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    a, side = unit(rng.normal(size=(1000, 64))), rng.normal(size=(1000, 64))
+    side = unit(side - (side * a).sum(1)[:, None] * a)
+    tables = lattice.Tables(64, lattice.Settings())
+
+    def met(x, y):
+        return (tables.cells(x)[:, :, :, None] == tables.cells(y)[:, :, None, :]).any((1, 2, 3)).mean()
+
+    assert met(a, 0.9 * a + np.sqrt(1 - 0.81) * side) > 0.99
+    assert met(a, side) < 0.005
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    v = [[1, 2, 0], [1, 2, 0], [1, 2, 0], [0, 0, 1], [1, 2, 0.01]]
+    out = lattice.near_copies(frame(spark, v, [7, 7, None, 9, 8]), Scratch(spark, "t")).collect()
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in out)
+    assert got == [(-1, 0, -1, True), (7, 2, 7, True), (7, 2, 7, True), (8, 2, 7, False), (9, 0, 9, True)]
+
+
 def test_lattice_points_are_nearest():
     points = np.random.default_rng(7).normal(0, 2, (500, 8))
     found = lattice.nearest_point(points)
