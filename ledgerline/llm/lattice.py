@@ -119,18 +119,20 @@ class Tables:
         return out
 
 
-def _first_meeting(cells_a: np.ndarray, cells_b: np.ndarray, table: int, code: int) -> np.ndarray:
-    """Whether pairs (rows of a with rows of b) that share cell ``code`` of ``table`` share no earlier one.
+def _first_meeting(cells: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Whether pairs (rows ``a`` and ``b`` of ``cells``), each found in cell ``code`` of ``table``, share no earlier one.
 
     A pair meets in every cell that either owns or probes and so does the other;
     tables come in order, cells of one table by code.
     """
-    first = np.ones(len(cells_a), bool)
-    for t in range(table):
-        first &= ~(cells_a[:, t, :, None] == cells_b[:, t, None, :]).any((1, 2))
-    here = cells_a[:, table, :, None]
-    smaller = (here == cells_b[:, table, None, :]) & (here < code)
-    return first & ~smaller.any((1, 2))
+    first = np.ones(len(a), bool)
+    for t in range(cells.shape[1]):
+        some = np.flatnonzero(first & (table >= t))
+        here = cells[a[some], t][:, :, None]
+        shared = here == cells[b[some], t][:, None, :]
+        shared &= (table[some, None, None] > t) | (here < code[some, None, None])
+        first[some] = ~shared.any((1, 2))
+    return first
 
 
 def _linked(frame: pd.DataFrame, tables: Tables, limit: float, floats: type) -> pd.DataFrame:
@@ -146,7 +148,7 @@ def _linked(frame: pd.DataFrame, tables: Tables, limit: float, floats: type) ->
     tab, cell, chunk = (frame[c].to_numpy() for c in ("tab", "cell", "chunk"))
     apart = frame["left"].iloc[0] != frame["right"].iloc[0]
     starts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (tab[1:] != tab[:-1]))))
-    found = []
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(frame)]):
         for at in range(start, end - 1, 256):
             near = units[at : min(at + 256, end)] @ units[start:end].T >= limit - 1e-9
@@ -158,13 +160,17 @@ def _linked(frame: pd.DataFrame, tables: Tables, limit: float, floats: type) ->
             if keep.any():
                 a, b = a[keep], b[keep]
                 exact = cosine(vectors[a], vectors[b]) >= limit
-                a, b = a[exact], b[exact]
-                involved, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-                cells = tables.cells(units[involved])
-                first = _first_meeting(cells[where[: len(a)]], cells[where[len(a) :]], int(tab[start]), int(cell[start]))
-                found.append((a[first], b[first]))
-    a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
+                found.append((a[exact], b[exact]))
+    a, b = (np.concatenate([pair[i] for pair in found]) for i in (0, 1))
+    # cells of the linked vectors, once each; pairs of a task are few enough to hold, as its cells are bounded
+    _, row, at = np.unique(keys[np.concatenate([a, b])], return_index=True, return_inverse=True)
+    cells = tables.cells(units[np.concatenate([a, b])[row]])
+    first = [
+        _first_meeting(cells, at[i:j], at[len(a) + i : len(a) + j], tab[a[i:j]], cell[a[i:j]])
+        for i, j in ((i, min(i + 65536, len(a))) for i in range(0, len(a), 65536))
+    ]
+    first = np.concatenate([np.zeros(0, bool), *first])
+    a, b = a[first], b[first]
     nodes, where = np.unique(keys[np.concatenate([a, b])], return_inverse=True)
     counts = np.bincount(where, np.concatenate([copies[b], copies[a]]), len(nodes)).astype(np.int64)
     root, forest = list(range(len(nodes))), []

@@ -133,14 +133,13 @@ def test_unusable_vectors_link_with_nothing(spark):
 
 def test_every_shared_cell_is_a_meeting_and_the_first_one_counts():
     rng = np.random.default_rng(8)
-    a = rng.integers(0, 9, (500, 3, 4)) * 10 + np.arange(4)  # cells of a vector differ within a table
-    b = rng.integers(0, 9, (500, 3, 4)) * 10 + np.arange(4)
+    cells = rng.integers(0, 9, (1000, 3, 4)) * 10 + np.arange(4)  # cells of a vector differ within a table
     for i in range(500):
-        shared = [(t, c) for t in range(3) for c in sorted(set(a[i, t]) & set(b[i, t]))]
-        counted = [
-            (t, c) for t, c in shared if lattice._first_meeting(a[i : i + 1], b[i : i + 1], t, int(c))[0]
-        ]
-        assert counted == shared[:1]
+        shared = [(t, c) for t in range(3) for c in sorted(set(cells[i, t]) & set(cells[500 + i, t]))]
+        pair = np.full(len(shared), i), np.full(len(shared), 500 + i)
+        tab, code = (np.array([x[k] for x in shared], np.int64) for k in (0, 1))
+        counted = lattice._first_meeting(cells, *pair, tab, code)
+        assert counted.tolist() == [True] * (len(shared) > 0) + [False] * (len(shared) - 1)
 
 
 def test_pairs_at_the_limit_meet():
