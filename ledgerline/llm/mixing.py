@@ -3,7 +3,7 @@
 All native.  Every document gets its place in the word stream of its source;
 the stream is cut into blocks of equal length; sources get whole numbers of
 blocks by highest quotients, shard by shard; a seeded walk over the blocks of a
-source picks as many as its quota says.
+source gives each shard the next blocks, as many as its quota says.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 GAP = r"[\x20\x09-\x0D]"
 
-#: Stride of the scattered walk: a prime above any number of blocks of one source.
-STRIDE = 2_147_483_647
+#: Stride of the scattered walk, a prime; times the blocks of 10^13 words it still fits a long.
+STRIDE = 7_368_787
 
 #: Documents numbered together in one window.
 TOGETHER = 50_000
@@ -30,15 +30,15 @@ TOGETHER = 50_000
 @dataclass(frozen=True)
 class Recipe:
     """weights repeat over the sources in code-point order, null last; ``share`` is the mix's size
-    in sizes of the corpus; a source is taken at most ``most`` times; the mix is cut into at most
-    ``blocks`` equal blocks, dealt to ``shards``; a source's last pass takes every ``stride``-th block
-    in a ring.  With 1 it takes one run of the stream, so all documents but the two at its ends are
+    in sizes of the corpus; a source is taken at most ``most`` times; the mix is cut into blocks of
+    ``block`` words, at any size of the input, dealt to ``shards``; a source's last pass takes every
+    ``stride``-th block in a ring (every one, where the stride divides their number).  With 1 it takes one run of the stream, so all documents but the two at its ends are
     taken whole or not at all, whatever the length of a block."""
 
     weights: Sequence[int] = (3, 1, 2)
     share: float = 1.5
     most: int = 2
-    blocks: int = 1 << 22
+    block: int = 16
     shards: int = 8
     seed: int = 17
     stride: int = STRIDE
@@ -81,7 +81,7 @@ def targets(sizes: DataFrame, recipe: Recipe) -> DataFrame:
 
 
 def quotas(sources: DataFrame, recipe: Recipe) -> DataFrame:
-    """Blocks of each source in each shard: columns sid, shard (from 0), quota, and block (words in one).
+    """Blocks of each source in each shard: columns sid, shard (from 0), quota, and upto (quota so far).
 
     Sainte-Lague gives the first h blocks to the h highest quotients
     target / (2k + 1), ties to the earlier source.  Seats once given stay when h
@@ -89,9 +89,7 @@ def quotas(sources: DataFrame, recipe: Recipe) -> DataFrame:
     surely gives too little settles all but about one seat per source; only
     those are ranked.
     """
-    block = F.greatest(F.lit(1), F.ceil(F.col("goal") / recipe.blocks)).cast("long")
-    rows = sources.select("sid", "target", "goal", block.alias("block"))
-    rows = rows.withColumn("all", F.round(F.col("goal") / F.col("block")).cast("long"))
+    rows = sources.select("sid", "target", F.round(F.col("goal") / recipe.block).cast("long").alias("all"))
     rows = rows.withColumn("shard", F.explode(F.array(*[F.lit(i) for i in range(recipe.shards)])))
     house = F.floor(F.col("all") * (F.col("shard") + 1) / recipe.shards).cast("long")
     per = Window.partitionBy("shard")
@@ -115,16 +113,16 @@ def quotas(sources: DataFrame, recipe: Recipe) -> DataFrame:
     rows = rows.join(won, ["sid", "shard"], "left")
     rows = rows.withColumn("upto", F.col("sure") + F.coalesce("won", F.lit(0)))
     earlier = F.lag("upto", 1, 0).over(Window.partitionBy("sid").orderBy("shard"))
-    return rows.select("sid", "shard", "block", (F.col("upto") - earlier).alias("quota"))
+    return rows.select("sid", "shard", (F.col("upto") - earlier).alias("quota"), "upto")
 
 
 def plan(docs: DataFrame, recipe: Recipe, scratch: Scratch) -> DataFrame:
     """One row per document row: doc_id, source, size, source_size, target, and the mix's choice.
 
     start: the document's first word in its source's stream; block: words in a
-    block; n: blocks of the source; quota: blocks taken; whole: complete passes;
-    rest: blocks of the last pass; shift: where its walk begins; stride: its
-    step; print: hash of the text.  Texts are read once.  The order of documents
+    block; n: blocks of the source; ends: for each shard, where in the source's
+    walk its blocks end; whole: complete passes; rest: blocks of the last pass;
+    shift: where the walk begins; stride: its step; print: hash of the text.  Texts are read once.  The order of documents
     in a stream is a seeded draw on id and size, then the hash, so equal rows are
     interchangeable and reruns agree.
     """
@@ -133,10 +131,13 @@ def plan(docs: DataFrame, recipe: Recipe, scratch: Scratch) -> DataFrame:
     own = own.withColumn("draw", _draw(F.lit(recipe.seed), key, F.col("size")))
     sizes = scratch.write(own, "sizes")
     sources = scratch.write(targets(sizes, recipe), "sources")
-    dealt = quotas(sources, recipe).groupBy("sid").agg(F.sum("quota").alias("quota"), F.first("block").alias("block"))
-    per = sources.join(dealt, "sid")
+    dealt = quotas(sources, recipe).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("shard", "upto"))).alias("dealt"))
+    per = sources.join(dealt, "sid").withColumn("block", F.lit(recipe.block).cast("long"))
     per = per.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("block"))))
-    per = per.withColumn("quota", F.least("quota", F.col("n") * recipe.most))
+    most = F.col("n") * recipe.most
+    per = per.withColumn("ends", F.transform("dealt", lambda d: F.least(d["upto"], most)))
+    per = per.withColumn("quota", F.element_at("ends", -1))
+    stride = F.when(F.col("n") % recipe.stride == 0, 1).otherwise(recipe.stride)
     shift = F.pmod(_draw(F.lit(recipe.seed), F.col("sid")), F.col("n"))
     ranges = F.greatest(F.lit(1), F.ceil(F.col("docs") / TOGETHER))
     per = per.select(
@@ -146,11 +147,11 @@ def plan(docs: DataFrame, recipe: Recipe, scratch: Scratch) -> DataFrame:
         "target",
         "block",
         "n",
-        "quota",
+        "ends",
         F.floor(F.col("quota") / F.col("n")).alias("whole"),
         (F.col("quota") % F.col("n")).alias("rest"),
         shift.alias("shift"),
-        F.lit(recipe.stride).cast("long").alias("stride"),
+        stride.cast("long").alias("stride"),
         ranges.alias("ranges"),
     )
     rows = sizes.join(per, sizes["source"].eqNullSafe(per["s_source"])).drop("s_source")
@@ -176,11 +177,10 @@ def _ends() -> tuple[Column, Column]:
     return first, F.floor((F.col("start") + F.col("size") - 1) / F.col("block")).cast("long")
 
 
-def _blocks() -> Column:
+def _blocks(wanted: Column) -> Column:
+    """The blocks of a document with words, where ``wanted``."""
     first, last = _ends()
-    return F.when((F.col("size") > 0) & (F.col("rest") > 0), F.sequence(first, last)).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    return F.when((F.col("size") > 0) & wanted, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _from(b: Column) -> Column:
@@ -191,32 +191,44 @@ def _upto(b: Column) -> Column:
     return F.least(F.col("size"), (b + 1) * F.col("block") - F.col("start"))
 
 
-def taken() -> Column:
-    """Words of a planned row that the mix takes, repeats counted."""
-    part = F.aggregate(
-        _blocks(),
-        F.lit(0).cast("long"),
-        lambda sofar, b: sofar + F.when(_place(b) < F.col("rest"), _upto(b) - _from(b)).otherwise(0),
-    )
-    return F.col("whole") * F.col("size") + part
+def dealt() -> Column:
+    """Words of a planned row that the mix takes for the shards up to each, repeats counted.
+
+    The walk passes block b at its place, and again ``n`` places later on each
+    further pass; a shard ends at a place of the walk.
+    """
+
+    def passes(b: Column, end: Column) -> Column:
+        return F.floor((end - _place(b) + F.col("n") - 1) / F.col("n"))
+
+    def upto(end: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.aggregate(_blocks(F.lit(True)), zero, lambda sofar, b: sofar + (_upto(b) - _from(b)) * passes(b, end))
+
+    return F.transform("ends", upto)
 
 
 def spans() -> Column:
     """Word spans (begin, end; end excluded) of the last, partial pass, in order; adjoining blocks are one span."""
     first, last = _ends()
-    begins = F.filter(_blocks(), lambda b: (_place(b) < F.col("rest")) & ((b == first) | (_place(b - 1) >= F.col("rest"))))
-    ends = F.filter(_blocks(), lambda b: (_place(b) < F.col("rest")) & ((b == last) | (_place(b + 1) >= F.col("rest"))))
+    blocks = _blocks(F.col("rest") > 0)
+    begins = F.filter(blocks, lambda b: (_place(b) < F.col("rest")) & ((b == first) | (_place(b - 1) >= F.col("rest"))))
+    ends = F.filter(blocks, lambda b: (_place(b) < F.col("rest")) & ((b == last) | (_place(b + 1) >= F.col("rest"))))
     return F.zip_with(begins, ends, lambda b, e: F.struct(_from(b).alias("begin"), _upto(e).alias("end")))
 
 
 def mix(docs: DataFrame, scratch: Scratch, recipe: Recipe = Recipe()) -> DataFrame:
-    """Every document row with its size and how many of its words the mix takes.
+    """Every document row with its size and how many of its words the mix takes, in all and for each
+    shard (``shard_words``, comma-joined).
 
     Null texts and texts without words have size 0 and are taken 0 times; null
     sources are a source; repeated rows are planned each; no rows give none.
     """
-    rows = plan(docs, recipe, scratch)
-    return rows.select("doc_id", "size", "source_size", "target", taken().alias("taken"))
+    rows = plan(docs, recipe, scratch).withColumn("sofar", dealt())
+    before = F.concat(F.array(F.lit(0).cast("long")), F.col("sofar"))
+    each = F.transform("sofar", lambda w, i: (w - F.get(before, i)).cast("string"))
+    taken, shard_words = F.element_at("sofar", -1), F.array_join(each, ",")
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), shard_words.alias("shard_words"))
 
 
 def mixed_texts(docs: DataFrame, scratch: Scratch, recipe: Recipe = Recipe()) -> DataFrame:

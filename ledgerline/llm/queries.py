@@ -122,34 +122,38 @@ ORACLES: dict[str, str] = {
         FROM weighed WINDOW earlier AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
     ), aimed AS (
         SELECT *, least(cap, coalesce(max(level) FILTER (WHERE level < turn) OVER () * weight, cap)) AS target,
-            CAST(greatest(1, ceil(goal / {_R.blocks})) AS BIGINT) AS block
+            {_R.block} AS block
         FROM levels
     ), quotients AS (
         SELECT sid, target / (2 * k + 1) AS quotient, k, CAST(round(goal / block) AS BIGINT) AS places
         FROM aimed, LATERAL (SELECT unnest(range(0, CAST(ceil(target / block) AS BIGINT) + 3)) AS k)
         WHERE target > 0
     ), seats AS (
-        SELECT sid, count(*) AS seats
+        SELECT sid, [{", ".join(f"count(*) FILTER (place <= places * {i + 1} // {_R.shards})" for i in range(_R.shards))}] AS seats
         FROM (SELECT sid, places, row_number() OVER (ORDER BY quotient DESC, sid, k) AS place FROM quotients)
-        WHERE place <= places GROUP BY sid
+        GROUP BY sid
     ), sized AS (
-        SELECT aimed.*, coalesce(seats, 0) AS seats,
+        SELECT aimed.*, coalesce(seats, [{", ".join("0" * _R.shards)}]) AS seats,
             CAST(greatest(1, ceil(source_size / block)) AS BIGINT) AS n FROM aimed LEFT JOIN seats USING (sid)
     ), dealt AS (
-        SELECT *, least(seats, {_R.most} * n) // n AS whole, least(seats, {_R.most} * n) % n AS rest,
-            {_draw(f"'{_R.seed}:' || sid")} % n AS shift
+        SELECT *, list_transform(seats, lambda s: least(s, {_R.most} * n)) AS ends,
+            {_draw(f"'{_R.seed}:' || sid")} % n AS shift,
+            CASE WHEN n % {mixing.STRIDE} = 0 THEN 1 ELSE {mixing.STRIDE} END AS stride
         FROM sized
     ), placed AS (
         SELECT doc_id, size, dealt.* EXCLUDE (source), CAST(coalesce(sum(size) OVER (PARTITION BY sid
             ORDER BY draw, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
         FROM drawn JOIN dealt ON drawn.source IS NOT DISTINCT FROM dealt.source
+    ), taken AS (
+        SELECT doc_id, size, source_size, target, list_transform(ends, lambda e: CAST(CASE WHEN size > 0 THEN
+            list_sum(list_transform(range(start // block, (start + size - 1) // block + 1),
+                lambda b: (least(size, (b + 1) * block - start) - greatest(0, b * block - start))
+                    * ((e - (b * stride + shift) % n + n - 1) // n))) ELSE 0 END AS BIGINT)) AS sofar
+        FROM placed
     )
-    SELECT doc_id, size, source_size, target, CAST(whole * size + CASE WHEN size > 0 AND rest > 0 THEN
-        list_sum(list_transform(range(start // block, (start + size - 1) // block + 1),
-            lambda b: CASE WHEN (b * {mixing.STRIDE} + shift) % n < rest
-                THEN least(size, (b + 1) * block - start) - greatest(0, b * block - start) ELSE 0 END))
-        ELSE 0 END AS BIGINT) AS taken
-    FROM placed""",
+    SELECT doc_id, size, source_size, target, sofar[-1] AS taken, array_to_string(list_transform(sofar,
+        lambda w, i: w - CASE WHEN i = 1 THEN 0 ELSE sofar[i - 1] END), ',') AS shard_words
+    FROM taken""",
     "op11_turns": f"""
     WITH RECURSIVE crc AS (
         SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),

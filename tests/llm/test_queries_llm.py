@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_ann": ["query_id", "rank", "vec_id", "score"],
     "op2_lattice": ["vec_id", "n_links", "component_id", "kept"],
-    "op3_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op3_mixing": ["doc_id", "size", "source_size", "target", "taken", "shard_words"],
     "op4_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op5_simhash": ["doc_id", "fingerprint", "component_id"],
     "op6_pages": ["page_id", "url", "text", "n_chars"],
