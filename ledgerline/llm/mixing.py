@@ -24,7 +24,7 @@ GAP = r"[\x20\x09-\x0D]"
 STRIDE = 7_368_787
 
 #: Documents numbered together in one window.
-TOGETHER = 50_000
+TOGETHER = 4_096
 
 
 @dataclass(frozen=True)
