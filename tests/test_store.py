@@ -79,3 +79,20 @@ def test_drops_are_compressed(small):
         parts = [f for _, _, files in os.walk(root) for f in files if f.startswith("part-")]
         assert parts and all(f.endswith(".txt.gz") for f in parts)
 
+
+def test_item_queries_write_the_items_alone(small):
+    found = {tuple(r) for r in queries.cancelled_billing(small).collect()}
+    assert found == {
+        ("1", "1.5.2.1998-01-01", True), ("1", "2.6.3.1998-01-01", False),
+        ("2", "1.5.2.1998-01-01", False), ("3", "1.5.2.1998-01-01", False),
+    }
+    assert [t for t in written(small) if t.startswith("serving")] == ["serving/items"]
+
+
+def test_order_queries_write_items_and_orders(small):
+    assert queries.kpi_filtered_scan(small).first()["total_orders"] == 0  # the settled order was cancelled in part
+    assert [t for t in written(small) if t.startswith("serving")] == ["serving/items", "serving/orders"]
+    assert queries.customer_lookup(small).count() == 0 and queries.customer_kpis(small).count() == 2
+    assert [t for t in written(small) if t.startswith("serving")] == [
+        "serving/customers", "serving/items", "serving/orders",
+    ]
