@@ -2,9 +2,11 @@
 
 import datetime as dt
 import os
+import re
 
 import pytest
 
+from ledgerline.operators import linking
 from ledgerline.plans import queries
 from ledgerline.plans.store import DataSet
 
@@ -96,3 +98,35 @@ def test_order_queries_write_items_and_orders(small):
     assert [t for t in written(small) if t.startswith("serving")] == [
         "serving/customers", "serving/items", "serving/orders",
     ]
+
+
+@pytest.mark.parametrize("name", ["items_with_deliveries", "items_with_billing", "items_with_payments"])
+def test_items_meet_their_documents_in_one_join(small, name):
+    """Billing and payments are attached to deliveries; the item rows are not shuffled for each of them."""
+    found = queries.QUERIES[name](small)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    outermost = re.search(r"(?:SortMerge|ShuffledHash|BroadcastHash)Join \[(.*?)\]", plan)[1]
+    assert "sales_order_item_norm" in outermost
+    assert found.count() == 4
+
+
+def test_attached_links_give_the_rows_of_the_item_first_chain(spark):
+    """Repeated items, links and headers, and links without a delivery, multiply alike either way."""
+    items = spark.createDataFrame(
+        [("1", "10", 1), ("1", "10", 2), ("1", "20", 3), ("2", "10", 4), (None, "10", 5)],
+        "sales_order_id string, sales_order_item string, n int",
+    )
+    ddl = "delivery_id string, delivery_item string, sales_order_id string, sales_order_item string"
+    rows = [("D1", "a", "1", "010"), ("D1", "b", "1", "010"), (None, "c", "1", "20"), ("D2", "d", None, "10")]
+    more = {"actual_delivery_qty": 1.0, "delivery_plant": "P", "storage_location": "S"}
+    links = spark.createDataFrame([(*r, *more.values()) for r in rows], f"{ddl}, actual_delivery_qty double, delivery_plant string, storage_location string")
+    heads = spark.createDataFrame([("D1", "x"), ("D1", "y"), (None, "z")], "delivery_id string, delivery_block string")
+    billing = spark.createDataFrame([("D1", "B1"), (None, "B2")], "delivery_id string, billing_doc_id string")
+
+    def attach(found):
+        return linking.with_billing(linking.with_delivery_headers(found, heads), billing)
+
+    got, expected = linking.with_deliveries(items, links, attach), attach(linking.with_deliveries(items, links))
+    names = sorted(expected.columns)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.select(names).collect())) == sorted(map(key, expected.select(names).collect()))
