@@ -5,10 +5,12 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.operators import linking
 from ledgerline.plans import queries
 from ledgerline.plans.store import DataSet
+from ledgerline.session import settings
 
 DAY = dt.datetime(1998, 1, 1)
 ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
@@ -130,3 +132,28 @@ def test_attached_links_give_the_rows_of_the_item_first_chain(spark):
     names = sorted(expected.columns)
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, got.select(names).collect())) == sorted(map(key, expected.select(names).collect()))
+
+
+def test_items_are_laid_out_by_order(spark, tmp_path):
+    """Items are shuffled once, by order: no order lies in two files, and the session is as it was."""
+    orders = [(n, n % 3, "F", 30.0, DAY, "5-LOW") for n in range(20)]
+    lines = [(n, 5, n, i, 1.0, 10.0, 0.0, 0.0, "A", "F" if i % 2 else "O", DAY) for n in range(20) for i in range(8)]
+    tables = {
+        "orders": (orders, ORDERS),
+        "lineitem": (lines, LINES),
+        "customer": ([(1, "One", 1.0)], "c_custkey bigint, c_name string, c_acctbal double"),
+        "part": ([(5, "five")], "p_partkey bigint, p_name string"),
+    }
+    for name, (rows, ddl) in tables.items():
+        spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/in/{name}.parquet")
+    data = DataSet(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    apart = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    outside = dict(spark.conf.getAll)
+    with settings(spark, apart):
+        inside = dict(spark.conf.getAll)
+        items = data.serving().items
+        assert dict(spark.conf.getAll) == inside
+    assert dict(spark.conf.getAll) == outside
+    assert items.count() == 160 and items.filter("delivery_id IS NOT NULL").count() == 160
+    places = items.select("sales_order_id", F.input_file_name().alias("file")).distinct().collect()
+    assert len(places) == 20 and len({r["file"] for r in places}) > 1
