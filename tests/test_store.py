@@ -157,3 +157,10 @@ def test_items_are_laid_out_by_order(spark, tmp_path):
     assert items.count() == 160 and items.filter("delivery_id IS NOT NULL").count() == 160
     places = items.select("sales_order_id", F.input_file_name().alias("file")).distinct().collect()
     assert len(places) == 20 and len({r["file"] for r in places}) > 1
+
+
+def test_a_deep_page_writes_its_own_directory(small):
+    assert queries.issues_page_deep(small).count() == 0
+    assert {t.split("/")[1] for t in written(small) if t.startswith("directories")} == {"issues"}
+    assert queries.orders_page_deep(small).count() == 0
+    assert {t.split("/")[1] for t in written(small) if t.startswith("directories")} == {"issues", "orders"}
