@@ -12,12 +12,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 #: Texts given to the library at once hold about so many characters, whatever the batch's size.
 CHARS = 1 << 20
 
+#: Bytes of text whose results make one batch, whatever the size of the batch they came in.
+PIECE = 1 << 21
+
 #: Encoded pieces a worker keeps before it starts afresh.
 KEPT = 400_000
 
@@ -180,6 +184,26 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about ``PIECE`` bytes of text; a longer text is a run of its own.
+
+    Ids take several times the room of their text, so a worker holds those of one run only.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // PIECE
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for first, last in zip(edges, edges[1:]):
+            if first < last:
+                yield batch.slice(first, last - first)
+
+
+def _lists(each: list[np.ndarray], to: type) -> pa.Array:
+    """A list of numbers of type ``to`` for each array."""
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
+    return pa.ListArray.from_arrays(cuts, np.concatenate([np.empty(0, to), *each], dtype=to, casting="same_kind"))
+
+
 def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
@@ -209,19 +233,18 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", offsets:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
-        for batch in batches:
+        for batch in _pieces(batches, text):
             ids, begins, ends = [], [], []
             texts = _texts(batch, text)
             for t, found in zip(texts, coder.encode(texts)):
-                ids.append(found.astype(np.int64))
+                ids.append(found)
                 if offsets:
                     spans = coder.spans(t, found)
-                    begins.append(spans[0].astype(np.int32))
-                    ends.append(spans[1].astype(np.int32))
-            new = {"ids": pa.array(ids, pa.list_(pa.int64()))}
+                    begins.append(spans[0])
+                    ends.append(spans[1])
+            new = {"ids": _lists(ids, np.int64)}
             if offsets:
-                new["begins"] = pa.array(begins, pa.list_(pa.int32()))
-                new["ends"] = pa.array(ends, pa.list_(pa.int32()))
+                new["begins"], new["ends"] = _lists(begins, np.int32), _lists(ends, np.int32)
             new["n_tokens"] = pa.array([len(x) for x in ids], pa.int64())
             yield _append(batch, text, **new)
 
@@ -249,7 +272,7 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
-        for batch in batches:
+        for batch in _pieces(batches, text):
             rows = [
                 (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest())
                 for ids in coder.encode(_texts(batch, text))

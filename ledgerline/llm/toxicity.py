@@ -25,6 +25,9 @@ SAMPLE_PER_CLASS = 8_000
 #: Terms whose place in the model a worker remembers before it starts afresh.
 KEPT = 500_000
 
+#: Documents whose terms make one batch, whatever the size of the batch they came in.
+ROWS = 256
+
 #: Besides a whole word, its first so many letters are terms, so that inflected forms share weights.
 OPENINGS = (3, 4, 5)
 
@@ -157,9 +160,10 @@ def _evidence(toxic: Column, count: Column, n: int, ones: int) -> Column:
 
 def _hashed_terms(docs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [document_terms(text) for text in frame.pop("text")]
-            yield frame.assign(terms=found)
+        for whole in frames:
+            for at in range(0, len(whole), ROWS):  # terms take several times the room of their text
+                frame = whole.iloc[at : at + ROWS]
+                yield frame.drop(columns="text").assign(terms=[document_terms(text) for text in frame["text"]])
 
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
     return docs.mapInPandas(run, ", ".join([*rest, "terms array<bigint>"]))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -198,6 +199,29 @@ def test_digests_and_round_trip(spark):
 # --- SimHash
 
 
+def test_encoding_answers_in_bounded_batches(spark):
+    """Whole rows in order, and never the ids of a whole batch of long texts at once."""
+    rows = [(i, None if i % 50 == 7 else f"{i} " + "a1 \u00e9" * 1000) for i in range(4000)]
+    df = frame(spark, [(*r, "s") for r in rows]).select("doc_id", "text")
+
+    class Taken:
+        schema = df.schema
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])
+    out = list(bpe.encoded(Taken(), PATH, PATTERN)(iter([batch])))
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == [i for i, _ in rows]
+    assert max(b.column("ids").nbytes for b in out) < 30_000_000 < sum(b.column("ids").nbytes for b in out)
+    plain = reference_encoder()
+    for b in (out[0], out[-1]):
+        for r in b.slice(b.num_rows - 10).to_pylist():
+            text = rows[r["doc_id"]][1] or ""
+            assert r["ids"] == plain.encode_ordinary(text) and r["n_tokens"] == len(r["ids"])
+            assert len(r["begins"]) == len(r["ends"]) == len(r["ids"]) and (r["ends"] or [0])[-1] == len(text)
+
+
 def slow_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
