@@ -32,6 +32,9 @@ CHUNK = 512
 #: Lines of small buckets compared in one group, about.
 TOGETHER = 4096
 
+#: Classes of shingles counted for each line, a power of two.
+TALLY = 1024
+
 #: Bytes of text split at once.
 PIECE = 1 << 22
 
@@ -250,62 +253,75 @@ def _windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[within], np.concatenate([[0], np.cumsum(np.maximum(0, sizes - SHINGLE + 1))])
 
 
+def _coded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of ``_windows``, each once per line and in order, and where those of each line begin, line after line."""
+    h, starts = _windows(lines)
+    for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        h[start:end].sort()
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    first[starts[:-1][np.diff(starts) > 0]] = True
+    return h[first], np.concatenate([[0], np.cumsum(first)])[starts]
+
+
+def _similarities(lines: list[str], centers: list[str], at: list[int]) -> list[float]:
+    """The exact similarity of each line and ``centers[i]``, i being the number ``at`` has for it."""
+    (h, starts), (known, begins) = ([x.tolist() if i else x for i, x in enumerate(_coded(t))] for t in (lines, centers))
+    out = []
+    for line, i, start, end in zip(lines, at, starts, starts[1:]):
+        begin, stop = begins[i], begins[i + 1]
+        if start == end or begin == stop:
+            out.append(similarity(shingles(line), shingles(centers[i])))
+            continue
+        both = np.concatenate([h[start:end], known[begin:stop]])
+        both.sort()
+        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+        out.append(shared / (len(both) - shared))
+    return out
+
+
 def _compared(pairs: DataFrame) -> DataFrame:
     """``pairs`` (a, b, a_spelled, b_spelled) with their exact similarity instead of the spelling."""
 
-    def sets(lines: list[str]) -> list[set]:
-        hashes, starts = _windows(lines)
-        each = hashes.tolist()
-        own = [set(each[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
-        return [found or shingles(line) for found, line in zip(own, lines)]
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
-            for at in range(0, len(whole), 1024):
-                frame = whole.iloc[at : at + 1024]
-                centers = list(dict.fromkeys(frame["b_spelled"]))
-                known = dict(zip(centers, sets(centers)))
-                both = zip(sets(frame["a_spelled"].tolist()), frame["b_spelled"])
-                yield pd.DataFrame(
-                    {"a": frame["a"], "b": frame["b"], "similarity": [similarity(own, known[b]) for own, b in both]}
-                )
+            for first in range(0, len(whole), 1024):
+                frame = whole.iloc[first : first + 1024]
+                at, centers = pd.factorize(frame["b_spelled"])
+                found = _similarities(frame["a_spelled"].tolist(), list(centers), at.tolist())
+                yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": found})
 
     return pairs.mapInPandas(run, "a bigint, b bigint, similarity double")
 
 
-def _coded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of ``_windows``, each once per line, and the line each belongs to, line after line."""
-    h, starts = _windows(lines)
-    owner = np.repeat(np.arange(len(lines)), np.diff(starts))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[first], owner[first]
+def _tallies(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many hashes of each line fall into each of ``TALLY`` classes: lines by classes.
+
+    The smaller counts of two lines, added up, are no less than the hashes they share.
+    """
+    n = len(starts) - 1
+    owner = np.repeat(np.arange(n), np.diff(starts))
+    classes = (hashes >> np.uint64(64 - TALLY.bit_length() + 1)).astype(np.int64)
+    counts = np.bincount(owner * TALLY + classes, minlength=n * TALLY)
+    return counts.astype(np.min_scalar_type(counts.max(initial=0))).reshape(n, TALLY)
 
 
 def _among(frame: pd.DataFrame) -> pd.DataFrame:
     """Links among members of buckets that don't both link to their center.
 
-    Two sets alike share a shingle among the rarest fifth of either, rarity
-    counted in the frame: only pairs that do are looked at, and only in the
-    first bucket they share.  Distances 1 - similarity obey the triangle
-    inequality, so members whose distances from the center differ by more than
-    the limit can't be alike either, nor can sets of too different sizes.
-    Members already joined need no comparison.
+    A pair is compared only in the first bucket it shares, and only if its
+    tallies leave room for enough shared shingles.  Distances 1 - similarity obey
+    the triangle inequality, so members whose distances from the center differ by
+    more than the limit can't be alike either, nor can sets of too different
+    sizes.  Members already joined need no comparison.
     """
     frame = frame.sort_values("band", kind="stable", ignore_index=True)
-    n, band = len(frame), frame["band"].to_numpy()
+    n, band, bands = len(frame), frame["band"].to_numpy(), frame["bands"].tolist()
     keys, far, chunk = frame["key"].tolist(), (1 - frame["similarity"]).to_numpy(), frame["chunk"].to_numpy()
-    earlier = [frozenset(bands[bands < own].tolist()) for own, bands in zip(band, frame["bands"])]
     apart = frame["left"].iloc[0] != frame["right"].iloc[0]
     near = far <= 1 - ALIKE
-    hashes, owner = _coded(frame["spelled"].tolist())
-    _, ids, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    ids = ids[np.lexsort((ids, count[ids], owner))]
-    sizes = np.bincount(owner, minlength=n)
-    starts = (np.cumsum(sizes) - sizes).tolist()
-    own = [ids[at : at + size].tolist() for at, size in zip(starts, sizes.tolist())]
+    hashes, starts = _coded(frame["spelled"].tolist())
+    sizes, tallies = np.diff(starts), _tallies(hashes, starts)
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -321,30 +337,29 @@ def _among(frame: pd.DataFrame) -> pd.DataFrame:
         for i in linked[1:]:
             root[i] = linked[0]
         sets: dict[int, set[int]] = {}
-        holders: dict[int, list[int]] = {}
-        for i in range(first, last):
-            mine, size = own[i], len(own[i])
-            rarest = mine[: size - math.ceil(ALIKE * size - 1e-9) + 1]
-            met = np.fromiter(set().union(*(holders.get(x, ()) for x in rarest)), np.int64)
-            for x in rarest:
-                holders.setdefault(x, []).append(i)
-            if not len(met):
+        for i in range(first + 1, last):
+            if not sizes[i]:
                 continue
-            both = np.minimum(sizes[met], size) >= ALIKE * np.maximum(sizes[met], size) - 1e-9
-            both &= np.abs(far[met] - far[i]) <= 1 - ALIKE + 1e-9
+            size, met = sizes[first:i], np.abs(far[first:i] - far[i]) <= 1 - ALIKE + 1e-9
+            met &= np.minimum(size, sizes[i]) >= ALIKE * np.maximum(size, sizes[i]) - 1e-9
             if near[i]:
-                both &= ~near[met]
+                met &= ~near[first:i]
             if apart:
-                both &= chunk[met] != chunk[i]
-            for j in sorted(met[both].tolist()):
-                if not earlier[i].isdisjoint(earlier[j]):
+                met &= chunk[first:i] != chunk[i]
+            met = np.flatnonzero(met) + first
+            if not len(met):
+                continue
+            most = np.minimum(tallies[met], tallies[i]).sum(axis=1, dtype=np.int64)
+            mine = set(bands[i].tolist())
+            for j in met[(1 + ALIKE) * most >= ALIKE * (sizes[met] + sizes[i]) - 1e-6].tolist():
+                if min(mine.intersection(bands[j].tolist())) < band[i]:
                     continue
                 x, y = find(i), find(j)
                 if x == y:
                     continue
                 for k in (i, j):
                     if k not in sets:
-                        sets[k] = set(own[k])
+                        sets[k] = set(hashes[starts[k] : starts[k + 1]].tolist())
                 if similarity(sets[i], sets[j]) >= ALIKE:
                     root[y] = x
                     out.append((keys[i], keys[j]))

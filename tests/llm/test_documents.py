@@ -4,8 +4,10 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -453,6 +455,26 @@ def test_buckets_are_compared_in_chunks(spark, monkeypatch):
     assert {r.doc_id: r.text for r in got.collect()} == slow_line_dedup(rows)
 
 
+def test_unlike_lines_of_a_bucket_are_not_compared(monkeypatch):
+    phrases = [" ".join(hashlib.sha256(f"{i}.{j}".encode()).hexdigest()[:9] for j in range(6)) for i in range(10)]
+    texts = [" ".join(phrases[i] for i in chosen) for chosen in combinations(range(10), 5) if sum(chosen) % 5 == 0]
+    texts.append(texts[3] + " more")
+    n = len(texts)
+    bucket = pd.DataFrame({"band": 7, "left": 0, "right": 0, "chunk": 0, "key": range(n), "similarity": 0.5})
+    bucket["bands"], bucket["spelled"] = [np.array([7])] * n, texts
+    seen, similarity = [], lines.similarity
+    monkeypatch.setattr(lines, "similarity", lambda a, b: seen.append(1) or similarity(a, b))
+    assert lines._among(bucket).to_numpy().tolist() == [[n - 1, 3]]
+    assert len(seen) < n
+
+
+def test_similarities_are_exact():
+    texts = ["a", "A", "ab", "one line of text", "One line of texts", "another line of text, of text, of text"]
+    at = [(7 * i) % 6 for i in range(36)]
+    wanted = [lines.similarity(lines.shingles(texts[i % 6]), lines.shingles(texts[j])) for i, j in enumerate(at)]
+    assert lines._similarities([texts[i % 6] for i in range(36)], texts, at) == wanted
+
+
 def test_short_lines_go_like_others(spark):
     long = "a line that is long enough to count"
     rows = [(1, "Of.\n\n" + long), (2, "own words of the second\n Of. \nof."), (3, "Of.\n" + long), (4, "你好。\n你好。\n\n"), (5, "你好。")]
