@@ -164,3 +164,20 @@ def test_a_deep_page_writes_its_own_directory(small):
     assert {t.split("/")[1] for t in written(small) if t.startswith("directories")} == {"issues"}
     assert queries.orders_page_deep(small).count() == 0
     assert {t.split("/")[1] for t in written(small) if t.startswith("directories")} == {"issues", "orders"}
+
+
+def test_a_drop_has_the_folders_asked_for(small):
+    assert queries.scan_jsonl(small).count() == 4
+    assert written(small) == ["jsonl/sales_order_items"]
+    assert queries.scan_missing_folder(small).count() == 4
+    assert "jsonl/outbound_delivery_items" in written(small)
+    assert "jsonl/payments_accounts_receivable" not in written(small)
+    assert {r.table_name: r.row_count for r in queries.load_profile(small).collect()}["payments"] == 4
+    assert "jsonl/payments_accounts_receivable" in written(small)
+
+
+def test_profiles_keep_one_loaded_copy(small):
+    first = queries.load_profile(small).collect()
+    once = written(small)
+    assert queries.load_profile(small).collect() == first
+    assert written(small) == once
