@@ -159,6 +159,34 @@ def test_alignment_decides_on_every_frequent_text(spark):
     assert len(pages.constants([own[0], own[1]])) == 2  # Imprint, and one of two that change places
 
 
+def test_all_pages_that_have_a_text_are_aligned(spark):
+    """Two texts keep their order on the pages of the lowest hashes and change places on most others."""
+
+    def page(i, turn):
+        return f"<body><p>Own words {i}</p><ul class=turn>{turn}</ul><p>Own end {i}</p><p>Imprint</p></body>"
+
+    both = [[page(i, turn) for turn in ("<li>Good<li>Bad", "<li>Bad<li>Good")] for i in range(200)]
+    made = spark.createDataFrame([(i, *b) for i, b in enumerate(both)], "i int, a string, b string")
+    hashes = made.selectExpr("i", "xxhash64(a) AS a", "xxhash64(b) AS b").collect()
+    low = sorted(r.a for r in hashes)[8]
+    own = [both[r.i][r.a >= low] for r in hashes if r.a < low or r.b >= low]
+    df = spark.createDataFrame([(i, f"http://h.net/{i}", t) for i, t in enumerate(own)], "page_id bigint, url string, html string")
+    got = [r.text for r in pages.extracted(df, Scratch(spark, "t")).collect()]
+    assert len({word for text in got for word in ("Good", "Bad") if word in text}) == 1
+    assert all("Good" in text or "Bad" in text for text in got) and "Imprint" not in "".join(got)
+
+
+def test_outlines_align_as_their_pages_do():
+    rng = random.Random(19)
+    some = ["".join(rng.choices(["<p>a", "<p>b", "<h2>c</h2>", "<ul><li>d<li>e</ul>", "<div>f"], k=rng.randint(1, 9))) for _ in range(60)]
+    trees = [pages.simplified(pages.Page(html).root) for html in some]
+    first = pages.Aligned(pages.outline(trees[0]))
+    for tree in trees:
+        pairs = pages.tree_match(trees[0], tree)[1]
+        want = {pages._mark(x.path, t) for x, y in pairs for t in set(x.blocks) & set(y.blocks)}
+        assert first.with_page(pages.outline(tree)) == first.with_page(pages.outline(tree)) == want
+
+
 # --- URLs
 
 
