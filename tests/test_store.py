@@ -7,10 +7,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import linking
+from frames import chain
+from ledgerline.operators import cleaning, linking
 from ledgerline.plans import queries
 from ledgerline.plans.store import DataSet
 from ledgerline.session import settings
+from ledgerline.sources import sinks
 
 DAY = dt.datetime(1998, 1, 1)
 ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
@@ -181,3 +183,42 @@ def test_profiles_keep_one_loaded_copy(small):
     once = written(small)
     assert queries.load_profile(small).collect() == first
     assert written(small) == once
+
+
+def test_tables_by_order_meet_without_a_shuffle(small, spark):
+    """Items, once laid out by order, are neither shuffled for their order's row nor for its figures."""
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        for name, keys in (("order_context", 4), ("context_payload", 4), ("order_view", 3)):
+            found = queries.QUERIES[name](small)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert found.count() == keys and "Bucketed: true" in plan
+            for exchanged in re.findall(r"Exchange hashpartitioning\(.*\n.*", plan):
+                assert "sales_order_item" not in exchanged
+
+
+@pytest.mark.parametrize("name", ["unified_items", "scan_missing_folder"])
+def test_the_chain_leaves_its_result_alone(small, spark, name):
+    """Steps go when the items are written, as do shuffle files; the catalogue has no table more."""
+    before = spark.catalog.listTables()
+    plan = queries.QUERIES[name](small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert [t.split("/")[2:] for t in written(small) if t.startswith("steps")] == [["items"]]
+    assert queries.QUERIES[name](small).count() == 4 and spark.catalog.listTables() == before
+
+
+def test_steps_give_the_rows_of_the_lazy_chain(spark, tmp_path):
+    """Repeated and missing orders, deliveries and headers multiply alike with steps and without."""
+    t = cleaning.clean_all(chain(spark))
+    t |= {name: t[name].unionByName(t[name].limit(2)) for name in ("order_items", "delivery_items", "delivery_headers", "order_headers")}
+    lazy, steps = linking.unified_items(t), sinks.Steps(spark, f"{tmp_path}/steps")
+    got = sinks.stored_by(linking.unified_items(t, steps), f"{tmp_path}/items", *linking.ITEM_KEY)
+    assert got.columns == lazy.columns and got.count() == lazy.count()
+    assert got.exceptAll(lazy).count() == lazy.exceptAll(got).count() == 0
+
+
+def test_a_table_by_a_column_replaces_the_one_before(spark, tmp_path):
+    for folder in (f"{tmp_path}/t", os.path.relpath(f"{tmp_path}/it's")):
+        for rows in ([("a", 1), (None, 2)], [("b", 3)]):
+            found = sinks.stored_by(spark.createDataFrame(rows, "k string, n int"), folder, "k", "n")
+            assert sorted(map(tuple, found.collect()), key=str) == sorted(rows, key=str)
+            assert spark.read.parquet(folder).count() == len(rows)
